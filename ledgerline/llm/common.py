@@ -76,7 +76,7 @@ def attach_by_key(rows: DataFrame, groups: DataFrame, keys: Sequence[str], count
     heavy = groups.where(F.col(count) >= least).select(*keys, F.struct(*values).alias("_heavy"))
     light = groups.where(F.col(count) < least).select(*keys, F.struct(*values).alias("_light"), F.lit(0).cast("long").alias("_spread"))
     marked = rows.join(F.broadcast(heavy), list(keys), "left")
-    marked = marked.withColumn("_spread", F.when(F.col("_heavy").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(spread) | F.lit(1)))
+    marked = marked.withColumn("_spread", F.when(F.col("_heavy").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(spread).bitwiseOR(F.lit(1).cast("long"))))
     joined = marked.join(light, [*keys, "_spread"], "left")
     picked = F.coalesce(F.col("_heavy"), F.col("_light"))
     return joined.select(*rows.columns, *[picked[v].alias(v) for v in values])

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .media import op10_media
 from .packing import op8_packing
 from .token_store import op2_token_files
+from .warc import op3_warc
 
 QUERIES = {
     "op2_token_files": op2_token_files,
+    "op3_warc": op3_warc,
     "op8_packing": op8_packing,
+    "op10_media": op10_media,
 }
 
 ORACLE_SQL: dict[str, str] = {}
