@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .chat import OP4_SQL, op4_chat
+from .fingerprints import op7_fingerprints
 from .media import op10_media
 from .packing import op8_packing
 from .token_store import op2_token_files
@@ -10,8 +12,12 @@ from .warc import op3_warc
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_warc": op3_warc,
+    "op4_chat": op4_chat,
+    "op7_fingerprints": op7_fingerprints,
     "op8_packing": op8_packing,
     "op10_media": op10_media,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat": OP4_SQL,
+}
