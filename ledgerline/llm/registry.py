@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP4_SQL, op4_chat
 from .fingerprints import op7_fingerprints
 from .media import op10_media
+from .minhash import op5_minhash
 from .packing import op8_packing
 from .token_store import op2_token_files
 from .warc import op3_warc
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_warc": op3_warc,
     "op4_chat": op4_chat,
+    "op5_minhash": op5_minhash,
     "op7_fingerprints": op7_fingerprints,
     "op8_packing": op8_packing,
     "op10_media": op10_media,
