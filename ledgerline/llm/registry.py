@@ -7,6 +7,7 @@ from .fingerprints import op7_fingerprints
 from .media import op10_media
 from .minhash import op5_minhash
 from .packing import op8_packing
+from .quality import op9_quality
 from .suffix_dedup import op6_suffix_dedup
 from .token_store import op2_token_files
 from .warc import op3_warc
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_fingerprints": op7_fingerprints,
     "op8_packing": op8_packing,
+    "op9_quality": op9_quality,
     "op10_media": op10_media,
 }
 
