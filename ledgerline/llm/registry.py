@@ -7,12 +7,14 @@ from .fingerprints import op7_fingerprints
 from .media import op10_media
 from .minhash import op5_minhash
 from .packing import op8_packing
+from .pieces import op1_sentencepiece
 from .quality import op9_quality
 from .suffix_dedup import op6_suffix_dedup
 from .token_store import op2_token_files
 from .warc import op3_warc
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_token_files": op2_token_files,
     "op3_warc": op3_warc,
     "op4_chat": op4_chat,
