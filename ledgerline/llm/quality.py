@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,10 @@ def grams(text: str) -> np.ndarray:
     return found
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
 def _counts(marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """How many documents, and how many of the target's, have each gram.  Two arrays of 2 ** BITS entries."""
     size = 1 << BITS
@@ -154,9 +159,17 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
     return float(values.agg(F.min(column)).first()[0])
 
 
-def classify(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, sample_share: float = SAMPLE_SHARE) -> DataFrame:
-    """doc_id, n_grams, log_weight, evidence, gumbel_key, accepted and drawn."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+@dataclass
+class Classifier:
+    """Log-ratios of the grams, and the cut and threshold of the evidence."""
+
+    ratios: np.ndarray
+    cut: float
+    threshold: float
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Classifier:
+    texts = _texts(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")).dropna()
     known = known.groupBy("doc_id").agg(F.min("good").alias("good"))
     # At most labelled_rows rows; a quarter of them is held out for the threshold.
@@ -166,13 +179,33 @@ def classify(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_R
     raw, target = _counts(marked.select("text", (F.col("good") & ~F.col("held_out")).alias("target")))
     ratios = _ratios(raw, target)
     held = _scored(texts.join(sample.where("held_out"), "doc_id").select("good", "text"), ratios, CUTS, "good").select("good", "evidence").collect()
-    cut, threshold = _threshold(np.array([r["evidence"] for r in held]).reshape(-1, len(CUTS)), np.array([r["good"] for r in held], bool)) if held else (0, float("-inf"))
+    if not held:
+        return Classifier(ratios, CUTS[0], float("-inf"))
+    cut, threshold = _threshold(np.array([r["evidence"] for r in held]), np.array([r["good"] for r in held], bool))
+    return Classifier(ratios, CUTS[cut], threshold)
+
 
-    scores = _scored(texts, ratios, (CUTS[cut],), "doc_id").select("doc_id", "n_grams", "log_weight", F.col("evidence")[0].alias("evidence"))
+def keep_accepted(docs: DataFrame, model: Classifier) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text the classifier accepts."""
+    known = docs.sparkSession.sparkContext.broadcast(model.ratios)
+    at, cut, threshold = docs.columns.index("text"), model.cut, model.threshold
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [known.value[grams(t.as_py() or "")].astype(np.float64) for t in batch.column(at)]
+            yield batch.filter(pa.array([float(w[w < cut].sum()) >= threshold for w in sums], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def classify(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, sample_share: float = SAMPLE_SHARE) -> DataFrame:
+    """doc_id, n_grams, log_weight, evidence, gumbel_key, accepted and drawn."""
+    model = fit(docs, labels, labelled_rows)
+    scores = _scored(_texts(docs), model.ratios, (model.cut,), "doc_id").select("doc_id", "n_grams", "log_weight", F.col("evidence")[0].alias("evidence"))
     uniform = (F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     scores = stage(scores.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))), "quality-scores")
     last = kth_largest(scores, "gumbel_key", round(sample_share * scores.count()))
-    return scores.withColumn("accepted", F.col("evidence") >= F.lit(threshold)).withColumn("drawn", F.col("gumbel_key") >= F.lit(last))
+    return scores.withColumn("accepted", F.col("evidence") >= F.lit(model.threshold)).withColumn("drawn", F.col("gumbel_key") >= F.lit(last))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ worked on in blocks; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import gc
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -121,8 +121,8 @@ class Runs:
         return b[new], g[new], k[new], entry
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """Texts in ascending doc_id order; equal doc_ids stay in one chunk."""
+def _chunks(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
+    """Texts in ascending doc_id order; equal doc_ids stay in one chunk.  ``rest`` has the carried columns as Arrow data."""
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -132,25 +132,35 @@ def _chunks(docs: DataFrame) -> DataFrame:
         tool = zstandard.ZstdCompressor(level=3)
         ids: list[int] = []
         texts: list[bytes] = []
+        rest: list[pa.RecordBatch] = []
         held = 0
 
         def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([tool.compress(b"".join(texts))], pa.binary())], names=["chunk", "ids", "lengths", "data"])
+            sink = pa.BufferOutputStream()
+            if rest and carry:
+                with pa.ipc.new_stream(sink, rest[0].schema) as out:
+                    for part in rest:
+                        out.write_batch(part)
+            columns = [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([tool.compress(b"".join(texts))], pa.binary()), pa.array([tool.compress(sink.getvalue().to_pybytes())], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "lengths", "data", "rest"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            others, begun = batch.select(list(range(2, batch.num_columns))), 0
+            for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 if held >= CHUNK_BYTES and doc_id != ids[-1]:
+                    rest.append(others.slice(begun, k - begun))
                     yield close()
-                    number, ids, texts, held = number + 1, [], [], 0
+                    number, ids, texts, rest, held, begun = number + 1, [], [], [], 0, k
                 ids.append(doc_id)
                 texts.append(text.as_py())
                 held += len(texts[-1])
+            rest.append(others.slice(begun))
         if ids:
             yield close()
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("text"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
     rows = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
-    return rows.mapInArrow(chunks, "chunk long, ids array<long>, lengths array<long>, data binary")
+    return rows.mapInArrow(chunks, "chunk long, ids array<long>, lengths array<long>, data binary, rest binary")
 
 
 def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,14 +292,14 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-_RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary"
+_RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary, kept_text string"
 
 
-def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, the removed spans and the bytes that are kept."""
+def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, the removed spans, the bytes that are kept, and the columns to carry along."""
     spark = docs.sparkSession
     buckets = 4 * shuffle_partitions(spark)
-    chunks = stage(_chunks(docs), "suffix-chunks")
+    chunks = stage(_chunks(docs, carry), "suffix-chunks")
     _release(spark)
 
     def send_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +311,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Dat
                     yield out
 
     per_chunk = lambda answers, name: answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "flags")).alias(name))
-    run_flags = stage(_answered(chunks.mapInArrow(send_runs, _BLOBS), 10, _run_answer), "suffix-runs")
+    run_flags = stage(_answered(chunks.drop("rest").mapInArrow(send_runs, _BLOBS), 10, _run_answer), "suffix-runs")
     _release(spark)
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,11 +324,16 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Dat
                 if (out := _blob_rows(row["chunk"], wb, hashes)) is not None:
                     yield out
 
-    known = chunks.join(per_chunk(run_flags, "runs"), "chunk", "left")
+    known = chunks.drop("rest").join(per_chunk(run_flags, "runs"), "chunk", "left")
     window_flags = stage(_answered(known.mapInArrow(send_windows, _BLOBS), 8, _window_answer), "suffix-windows")
     _release(spark)
 
+    carried = list(carry)
+    schema = ", ".join([_RESULT, *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         for batch in batches:
             for row in batch.to_pylist():
                 ids, lengths, data = _open(row)
@@ -333,14 +348,19 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Dat
                     mine = gone[at : at + n]
                     turns = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]]).astype(np.int8)))
                     spans = [{"start": i, "stop": j} for i, j in turns.reshape(-1, 2).tolist()]
-                    out.append((None if doc_id == NO_ID else doc_id, n, int(mine.sum()), spans, data[at : at + n][~mine].tobytes()))
+                    out.append((None if doc_id == NO_ID else doc_id, n, int(mine.sum()), spans, (kept := data[at : at + n][~mine].tobytes()), kept.decode("utf-8", "ignore")))
                     at += n
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.binary()]
-                names = ["doc_id", "n_bytes", "n_removed", "spans", "kept"]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    known = chunks.join(per_chunk(run_flags, "runs"), "chunk", "left").join(per_chunk(window_flags, "windows"), "chunk", "left")
-    return known.mapInArrow(cut, _RESULT)
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.binary(), pa.string()]
+                names = ["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_text"]
+                made = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                if carry:
+                    rest = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(row["rest"])).read_all()
+                    for field, column in zip(carried, rest.columns, strict=True):
+                        made = made.append_column(field, pa.concat_arrays(column.chunks))
+                yield made
+
+    known = (chunks if carry else chunks.drop("rest")).join(per_chunk(run_flags, "runs"), "chunk", "left").join(per_chunk(window_flags, "windows"), "chunk", "left")
+    return known.mapInArrow(cut, schema)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
