@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import encoder, in_chunks
 from .common import stage, table
 
 CAPACITY = 2048
@@ -149,8 +149,9 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, cap
         part, tool, seen = TaskContext.get().partitionId(), encoder(tokenizer_path), defaultdict(int)
         for batch in batches:
             rows: dict[str, list] = {c.split()[0]: [] for c in schema.split(", ")}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = tool.encode(text.as_py()) + end
+            encoded = (ids for run in in_chunks(batch.column(1).to_pylist()) for ids in tool.encode_many(run))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                raw = ids + end
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     cut = raw[at : at + 4 * capacity]
                     length = len(cut) // 4

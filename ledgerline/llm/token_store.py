@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import encoder, in_chunks
 from .common import new_path, shuffle_partitions, table
 
 MAGIC = b"DACT\x01"
@@ -151,9 +151,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None =
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "segment": pa.array([number], pa.int32()), "first_in_shard": [before], "n_docs": [len(doc_ids)], "n_ids": [held], "data": pa.array([data], pa.binary())})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            encoded = (ids for run in in_chunks(batch.column(1).to_pylist()) for ids in tool.encode_many(run))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 doc_ids.append(doc_id)
-                raw.append(tool.encode(text.as_py()) + end)
+                raw.append(ids + end)
                 held += len(raw[-1]) // 4
                 if held >= segment_ids:
                     yield close()
