@@ -28,16 +28,19 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, stage, table
 
 CHUNK_CHARS = 1 << 15
+MEMO_WORDS = 1_000_000
+MEMO_CHARS = 48
 SPACE = "▁"
 #: Fixed values of the model format: kinds of model, and what an unknown character costs.
 UNIGRAM, BPE = 1, 2
@@ -94,6 +97,41 @@ class PieceModel:
         plain = normalizer.get(1) == b"identity" and not normalizer.get(4, 1)
         self.cuts = plain and lone and (self.kind in (UNIGRAM, BPE))
 
+        # A word may be encoded alone if nothing but a space joins the start of a word, and remembered.
+        self.words_apart = self.cuts and self.kind == BPE and self.prefix and all(x[0] == SPACE for x in self.inside if x[1] == SPACE)
+        self._memo: dict[str, bytes] = {}
+        self._spelled = [self._spell(i) for i in ids]
+
+    def _spell(self, i: int) -> bytes:
+        if self.library.is_byte(i):
+            return bytes([int(self.library.id_to_piece(i)[3:5], 16)])
+        if self.library.is_unknown(i):
+            return " ⁇ ".encode()
+        return b"" if self.library.is_control(i) else self.library.id_to_piece(i).replace(SPACE, " ").encode()
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text as 32-bit integers; words that were seen before are looked up."""
+        if not text or not self.words_apart or "  " in text or " \n" in text or SPACE in text or text[0] == " " or text[-1] == " ":
+            return array("I", self.library.encode(text)).tobytes()
+        words, memo = text.replace("\n", " \n").split(" "), self._memo
+        if fresh := list(set(words).difference(memo)):
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
+                fresh = list(set(words))
+            for w, ids in zip(fresh, self.library.encode(fresh, num_threads=1), strict=True):
+                # A line break follows its word without a space: the library's own prefix goes.
+                memo[w] = array("I", ids[1:] if w[:1] == "\n" else ids).tobytes()
+        out = b"".join(map(memo.__getitem__, words))
+        for w in fresh:
+            if len(w) > MEMO_CHARS:
+                del memo[w]
+        return out
+
+    def decode(self, ids: list[int], first: bool) -> str:
+        """The text of ids; only the first part of a document has the prefix."""
+        raw = b"".join(map(self._spelled.__getitem__, ids))
+        return (raw[1:] if first and self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
+
     def lattice_text(self, text: str) -> str:
         return (SPACE if self.prefix else "") + text.replace(" ", SPACE)
 
@@ -200,24 +238,62 @@ def model_of(path: str) -> PieceModel:
 
 
 _ENCODED = "doc_id long, row long, part int, ids array<int>, text string"
+_NAMES = ["doc_id", "row", "part", "ids", "text"]
+_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.string()]
+Batches = Iterator[pa.RecordBatch]
 
 
-def encode_pieces(docs: DataFrame, model_path: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """doc_id, row, part, ids, text: a part has the ids of a stretch of the text, in order within a row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.string()]
-    names = ["doc_id", "row", "part", "ids", "text"]
+def _lists(blobs: list[bytes]) -> pa.Array:
+    """Arrays of ids without a Python object an id."""
+    ends = np.cumsum([0, *(len(b) // 4 for b in blobs)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
+
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _small(batch: pa.RecordBatch, chars: int = 1 << 19) -> Batches:
+    """A batch in slices of about as many bytes of text each."""
+    begun = held = 0
+    for k, n in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
+        held += n or 0
+        if held >= chars:
+            yield batch.slice(begun, k + 1 - begun)
+            begun, held = k + 1, 0
+    if begun < batch.num_rows:
+        yield batch.slice(begun)
+
+
+def _encoded(model_path: str) -> Callable[[Batches], Batches]:
+    def whole(batches: Batches) -> Batches:
         model = model_of(model_path)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids = [model.library.encode(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None] * len(texts), pa.int64()), pa.array([0] * len(texts), pa.int32()), pa.array(ids, kinds[3]), batch.column(1).cast(pa.string())], names=names)
+        for large in batches:
+            for batch in _small(large):
+                n = batch.num_rows
+                ids = _lists([model.encode(t) for t in batch.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.nulls(n, pa.int64()), pa.array([0] * n, pa.int32()), ids, batch.column("text").cast(pa.string())], names=_NAMES)
 
+    return whole
+
+
+def _whole_rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def _split(docs: DataFrame, model_path: str, chunk_chars: int) -> tuple[DataFrame, DataFrame | None]:
+    """Texts to encode whole, and the parts of the giant ones."""
+    rows = _whole_rows(docs)
     if not model_of(model_path).cuts:
-        return rows.mapInArrow(whole, _ENCODED)
+        return rows, None
+    giant = F.char_length("text") > chunk_chars
+    return rows.where(~giant), _giant_parts(rows.where(giant), model_path, chunk_chars)
+
+
+def encode_pieces(docs: DataFrame, model_path: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """doc_id, row, part, ids, text: a part has the ids of a stretch of the text, in order within a row."""
+    rows, giants = _split(docs, model_path, chunk_chars)
+    whole = rows.mapInArrow(_encoded(model_path), _ENCODED)
+    return whole if giants is None else whole.unionByName(giants)
 
+
+def _giant_parts(rows: DataFrame, model_path: str, chunk_chars: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -255,75 +331,71 @@ def encode_pieces(docs: DataFrame, model_path: str, chunk_chars: int = CHUNK_CHA
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(model_path)
         for batch in batches:
-            out = []
-            for x in batch.to_pylist():
+            for k in range(batch.num_rows):
+                x = batch.slice(k, 1).to_pylist()[0]
                 ids = model.trace(x["stretch"], x["cut"], x["enter"], x["leave"])
                 text = x["stretch"][x["enter"] : x["cut"] + x["leave"]].replace(SPACE, " ")
-                out.append((x["doc_id"], x["row"], x["part"], ids, text[1:] if x["part"] == 0 and model.prefix else text))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                out = (x["doc_id"], x["row"], x["part"], ids, text[1:] if x["part"] == 0 and model.prefix else text)
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, _KINDS, strict=True)], names=_NAMES)
 
-    giant = F.char_length("text") > chunk_chars
-    chunks = stage(rows.where(giant).mapInArrow(cut, "doc_id long, row long, part int, stretch string, cut long"), "piece-chunks")
+    chunks = stage(rows.mapInArrow(cut, "doc_id long, row long, part int, stretch string, cut long"), "piece-chunks")
     found = chunks.select("row", "part", "stretch", "cut").mapInArrow(matrices, "row long, part int, matrix binary")
-    states = found.repartition(shuffle_partitions(docs.sparkSession), "row").sortWithinPartitions("row", "part").mapInArrow(scan, "row long, part int, enter int, leave int")
-    giants = chunks.join(states, ["row", "part"]).mapInArrow(traced, _ENCODED)
-    return rows.where(~giant).mapInArrow(whole, _ENCODED).unionByName(giants)
+    states = found.repartition(shuffle_partitions(rows.sparkSession), "row").sortWithinPartitions("row", "part").mapInArrow(scan, "row long, part int, enter int, leave int")
+    return chunks.join(states, ["row", "part"]).mapInArrow(traced, _ENCODED)
 
 
-def decode_pieces(parts: DataFrame, model_path: str) -> DataFrame:
-    """Add ``decoded``, the text of each part's ids."""
-    fields = [f for f in parts.schema if f.name != "decoded"]
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoded(model_path: str) -> Callable[[Batches], Batches]:
+    def decode(batches: Batches) -> Batches:
         model = model_of(model_path)
-        line = model.library.encode("\n")[-1:]
         for batch in batches:
-            first = [p == 0 for p in batch.column("part").to_pylist()]
-            ids = batch.column("ids").to_pylist()
-            texts = [model.library.decode(x) if f else model.library.decode(line + x)[1:] for f, x in zip(first, ids, strict=True)]
+            ids, parts = batch.column("ids"), batch.column("part").to_pylist()
+            texts = [model.decode(ids[k].values.to_numpy().tolist() if ids[k].is_valid else [], parts[k] == 0) for k in range(batch.num_rows)]
             yield batch.append_column("decoded", pa.array(texts, pa.string()))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return parts.select(*[f.name for f in fields]).mapInArrow(decode, f"{schema}, decoded string")
+    return decode
 
 
-def piece_digests(parts: DataFrame, model_path: str) -> DataFrame:
-    """Per document: its pieces, the crc32 of their ids, and whether decoding gives the text back."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_chars", "n_pieces", "ids_crc32", "round_trip"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-        row, now = None, None
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-        for batch in batches:
-            ready = []
-            for doc_id, r, ids, text, decoded in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "ids", "text", "decoded")), strict=True):
-                raw, same = array("I", ids).tobytes(), decoded == text.replace(SPACE, " ")
-                if now and r is not None and r == row:
-                    now = (now[0], now[1] + len(text), now[2] + len(ids), zlib.crc32(raw, now[3]), now[4] and same)
-                else:
-                    if now:
-                        ready.append(now)
-                    row, now = r, (doc_id, len(text), len(ids), zlib.crc32(raw), same)
-            if ready:
-                yield out(ready)
-        if now:
-            yield out([now])
-
-    schema = "doc_id long, n_chars long, n_pieces long, ids_crc32 long, round_trip boolean"
-    decoded = decode_pieces(parts, model_path)
-    return decoded.mapInArrow(digest, schema)
+def decode_pieces(parts: DataFrame, model_path: str) -> DataFrame:
+    """Add ``decoded``, the text of each part's ids."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
+    return parts.mapInArrow(_decoded(model_path), f"{schema}, decoded string")
+
+
+_DIGEST = "doc_id long, n_chars long, n_pieces long, ids_crc32 long, round_trip boolean"
+
+
+def _digested(batches: Batches) -> Batches:
+    """Per document, its parts being in order: pieces, crc32 of their ids, and whether decoding gives the text back."""
+    names = [c.split()[0] for c in _DIGEST.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    row, now = None, None
+    for batch in batches:
+        ready: list[tuple] = []
+        columns = (batch.column(c).to_pylist() for c in ("doc_id", "row", "text", "decoded"))
+        for k, (doc_id, r, text, decoded) in enumerate(zip(*columns, strict=True)):
+            raw = batch.column("ids")[k].values.to_numpy().astype("<i4").tobytes()
+            same = decoded == text.replace(SPACE, " ")
+            if now and r is not None and r == row:
+                now = (now[0], now[1] + len(text), now[2] + len(raw) // 4, zlib.crc32(raw, now[3]), now[4] and same)
+            else:
+                if now:
+                    ready.append(now)
+                row, now = r, (doc_id, len(text), len(raw) // 4, zlib.crc32(raw), same)
+        if ready:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*ready, strict=True), kinds, strict=True)], names=names)
+    if now:
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(now, kinds, strict=True)], names=names)
 
 
 def encode_digests(docs: DataFrame, model_path: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    parts = encode_pieces(docs, model_path, chunk_chars)
-    whole = parts.where(F.col("row").isNull())
-    cut = parts.where(F.col("row").isNotNull()).repartition(shuffle_partitions(docs.sparkSession), "row").sortWithinPartitions("row", "part")
-    return piece_digests(whole, model_path).unionByName(piece_digests(cut, model_path))
+    """Encode and decode every text; one pass of a worker for those that are not giant."""
+    rows, giants = _split(docs, model_path, chunk_chars)
+    encode, decode = _encoded(model_path), _decoded(model_path)
+    out = rows.mapInArrow(lambda batches: _digested(decode(encode(batches))), _DIGEST)
+    if giants is None:
+        return out
+    ordered = giants.repartition(shuffle_partitions(docs.sparkSession), "row").sortWithinPartitions("row", "part")
+    return out.unionByName(ordered.mapInArrow(lambda batches: _digested(decode(batches)), _DIGEST))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
