@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,8 +24,6 @@ _TO = "0123456789" * 2 + "".join(_LETTERS.values()) + "".join(_MARKS.values())
 SPACE_CLASS = r"[\s\x1c-\x1f\x85\p{Z}]"
 AMOUNT_TOKEN = r"\d[\d,]*(?:\.\d+)?"
 SIGNED_AMOUNT = "-?" + AMOUNT_TOKEN
-YMD = r"(\d{4})[-/. ](\d{1,2})[-/. ](\d{1,2})"
-DMY = r"(\d{1,2})[-/. ](\d{1,2})[-/. ](\d{4})"
 DATE_TOKEN = r"\d{4}[-/. ]\d{1,2}[-/. ]\d{1,2}|\d{1,2}[-/. ]\d{1,2}[-/. ]\d{4}"
 
 
@@ -31,6 +31,11 @@ def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def nfkc(c: ColumnOrName) -> Column:
     """Unicode compatibility composition; an ASCII text needs none."""
     text = _col(c)
@@ -78,11 +83,15 @@ def first_amount(c: ColumnOrName) -> Column:
 
 def parse_date(c: ColumnOrName) -> Column:
     """The first date-shaped token as a date; null unless it is a calendar day."""
-    token = found(normalize_digits(c), DATE_TOKEN)
-    year_first = token.rlike(r"\A\d{4}[-/. ]\d{1,2}[-/. ]\d{1,2}\z")
-    part = lambda a, b: F.when(year_first, found(token, YMD, a)).otherwise(found(token, DMY, b))
-    year, month, day = part(1, 3), part(2, 2), part(3, 1)
-    return F.when(year.cast("int") >= 1, F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-M-d"))
+
+    def parsed(token: Column) -> Column:
+        parts = F.split(token, "[-/. ]")
+        year_first = F.char_length(F.get(parts, F.lit(0))) == 4
+        year = F.get(parts, F.when(year_first, 0).otherwise(2))
+        day = F.get(parts, F.when(year_first, 2).otherwise(0))
+        return F.when(year.cast("int") >= 1, F.try_to_date(F.concat_ws("-", year, F.get(parts, F.lit(1)), day), "yyyy-M-d"))
+
+    return let(found(normalize_digits(c), DATE_TOKEN), parsed)
 
 
 def iso_date(c: ColumnOrName) -> Column:
@@ -103,10 +112,13 @@ def edit_distance(a: ColumnOrName, b: ColumnOrName, limit: int | None = None) ->
 
 def similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
     """1 less the edit distance over the longer length, of the unified texts; null is empty."""
-    x, y = normalize_digits(a), normalize_digits(b)
-    longer = F.greatest(F.char_length(x), F.char_length(y))
-    part = F.lit(1.0) - F.levenshtein(x, y) / longer
-    return F.when(longer == 0, F.lit(1.0)).when(F.least(F.char_length(x), F.char_length(y)) == 0, F.lit(0.0)).otherwise(part)
+
+    def ratio(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        longer, shorter = F.greatest(F.char_length(x), F.char_length(y)), F.least(F.char_length(x), F.char_length(y))
+        return F.when(longer == 0, F.lit(1.0)).when(shorter == 0, F.lit(0.0)).otherwise(F.lit(1.0) - F.levenshtein(x, y) / longer)
+
+    return let(F.struct(normalize_digits(a).alias("x"), normalize_digits(b).alias("y")), ratio)
 
 
 def cents(c: ColumnOrName) -> Column:
@@ -124,9 +136,7 @@ def urdu_digits(c: ColumnOrName) -> Column:
 
 def grouped(c: ColumnOrName) -> Column:
     """An amount as it is printed: thousands separated, cents only if there are any."""
-    value = cents(c)
-    whole = F.format_number(value, 0)
-    return F.when(value == F.floor(value), whole).otherwise(F.format_number(value, 2))
+    return let(cents(c), lambda v: F.call_function("format_number", v, F.when(v == F.floor(v), 0).otherwise(2)))
 
 
 def shown(c: ColumnOrName) -> Column:

@@ -40,7 +40,7 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = sums.withColumn("tax", (F.col("subtotal") * rate).cast(MONEY))
     sums = sums.withColumn("total", (F.col("subtotal") + F.coalesce("tax", F.lit(0).cast(MONEY))).cast(MONEY))
     corrupted = key % 5 == 0
-    return sums.withColumn("mode", F.when(corrupted, F.lit("corrupted")).otherwise(F.lit("clean"))).withColumn("printed_total", F.when(corrupted, (F.col("total") + F.lit("0.40").cast(MONEY)).cast(MONEY)).otherwise(F.col("total")))
+    return sums.withColumn("mode", F.when(corrupted, F.lit("corrupted")).otherwise(F.lit("clean"))).withColumn("printed_total", F.when(corrupted, (F.col("total") + F.lit("0.60").cast(MONEY)).cast(MONEY)).otherwise(F.col("total")))
 
 
 def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,7 @@ totalled AS (
   SELECT *, CAST(subtotal + coalesce(tax, 0) AS DECIMAL(18,2)) AS total FROM taxed),
 totals AS (
   SELECT *, CASE WHEN invoice_id % 5 = 0 THEN 'corrupted' ELSE 'clean' END AS mode,
-         CAST(CASE WHEN invoice_id % 5 = 0 THEN total + 0.40 ELSE total END AS DECIMAL(18,2)) AS printed_total
+         CAST(CASE WHEN invoice_id % 5 = 0 THEN total + 0.60 ELSE total END AS DECIMAL(18,2)) AS printed_total
   FROM totalled)"""
 )
 

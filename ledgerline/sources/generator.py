@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import grouped, urdu_digits
+from ..functions.text import grouped, let, urdu_digits
 from ..schemas import INVOICE, ITEMS, LABELS, SHOPS
 
 MODES = ("clean", "mild", "heavy", "corrupted")
@@ -40,11 +40,15 @@ def stratified_modes(ids: DataFrame, n: int, key: str = "id", seed: int = 42) ->
 
 def corrupt_digit(text: Column, *keys: Column) -> Column:
     """One of the digits replaced by another one."""
-    places = F.filter(F.sequence(F.lit(1), F.char_length(text)), lambda p: F.substring(text, p, F.lit(1)).rlike(r"\d"))
-    at = F.get(places, F.pmod(F.xxhash64(F.lit("place"), *keys), F.size(places)).cast("int"))
-    new = F.pmod(F.substring(text, at, F.lit(1)).cast("int") + 1 + _draw("digit", 9, *keys), F.lit(10)).cast("string")
-    changed = F.concat(F.substring(text, F.lit(1), at - 1), new, F.substring(text, at + 1, F.char_length(text)))
-    return F.when(F.size(places) > 0, changed).otherwise(text)
+    digits = lambda t: F.filter(F.sequence(F.lit(1), F.char_length(t)), lambda p: F.substring(t, p, F.lit(1)).rlike(r"\d"))
+    pick = lambda places: F.get(places, F.pmod(F.xxhash64(F.lit("place"), *keys), F.size(places)).cast("int"))
+
+    def changed(x: Column) -> Column:
+        t, at = x["t"], x["at"]
+        new = F.pmod(F.substring(t, at, F.lit(1)).cast("int") + 1 + _draw("digit", 9, *keys), F.lit(10)).cast("string")
+        return F.when(at.isNull(), t).otherwise(F.concat(F.substring(t, F.lit(1), at - 1), new, F.substring(t, at + 1, F.char_length(t))))
+
+    return let(text, lambda t: let(F.struct(t.alias("t"), let(digits(t), lambda d: F.when(F.size(d) > 0, pick(d))).alias("at")), changed))
 
 
 def generate(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
@@ -90,16 +94,19 @@ def styled(text: Column, style: str = "digit_style") -> Column:
 def printed_lines(*key: Column) -> Column:
     """The lines of the printed page; numbers are set in columns as wide as the widest."""
     amount = lambda c: styled(grouped(c))
-    width = lambda part: F.array_max(F.transform("items", lambda x: F.char_length(grouped(x[part]))))
-    cell = lambda x, part, gap: styled(F.lpad(grouped(x[part]), width(part) + gap, " "))
-    row = lambda x: F.concat(x["description"], F.lit("  "), cell(x, "quantity", 1), F.lit("  "), cell(x, "unit_price", 2), F.lit("  "), cell(x, "line_total", 2))
+    parts = ("quantity", "unit_price", "line_total")
+    cells = F.transform("items", lambda x: F.struct(x["description"].alias("description"), *[grouped(x[p]).alias(p) for p in parts]))
+    widest = lambda rows: F.struct(rows.alias("rows"), *[F.array_max(F.transform(rows, lambda x: F.char_length(x[p]))).alias(p) for p in parts])  # noqa: B023, E731
+    cell = lambda x, w, part, gap: styled(F.lpad(x[part], w[part] + gap, " "))
+    row = lambda w: lambda x: F.concat(x["description"], F.lit("  "), cell(x, w, "quantity", 1), F.lit("  "), cell(x, w, "unit_price", 2), F.lit("  "), cell(x, w, "line_total", 2))
+    table = let(let(cells, widest), lambda w: F.transform(w["rows"], row(w)))
     label = lambda kind, k=0: F.lit(LABELS[kind][k] + ": ")
     number = F.concat(F.when(_draw("label", 2, *key) == 0, label("invoice_number")).otherwise(label("invoice_number", 1)), styled(F.col("number")))
     tax = F.when(F.col("tax").isNotNull(), F.concat(F.when(_draw("tax", 2, *key) == 0, label("tax")).otherwise(label("tax", 1)), amount("tax")))
     total = F.concat(label("total", 1), F.coalesce(F.col("printed_total"), amount("total")))
     lines = F.concat(
         F.array(_pick(SHOPS, "shop", *key), number, F.concat(label("date"), styled(F.col("date_printed"))), F.lit(LABELS["table_header"][0])),
-        F.transform("items", row),
+        table,
         F.array(F.concat(label("subtotal"), amount("subtotal")), tax, total),
     )
     return F.filter(lines, lambda x: x.isNotNull())
