@@ -40,9 +40,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut out; a character that is cut through goes whole."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = remove_repeats(docs, PASSAGE_BYTES, PASSAGE_GRAM, carry=others)
-    cut = cut.withColumn("text", F.col("kept_text"))
-    return cut.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    cut = remove_repeats(docs, PASSAGE_BYTES, PASSAGE_GRAM, carry=others, as_text=True)
+    kept = F.decode("kept", "UTF-8")
+    known = {c: F.col(f"carry_{k}") for k, c in enumerate(others)}
+    known |= {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": kept, "n_chars": F.char_length(kept).cast("long")}
+    return cut.select(*[known[c].alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,10 +60,12 @@ def _png(d: bytes, at: int) -> tuple[str, int] | None:
 
 def _jpeg(d: bytes, at: int) -> tuple[str, int] | None:
     p = at + 2
-    while p + 4 <= len(d) and d[p] == 0xFF:
+    while p + 2 <= len(d) and d[p] == 0xFF:
         marker = d[p + 1]
         if marker == 0xD9:
             return "jpeg", p + 2 - at
+        if p + 4 > len(d):
+            return None
         size = struct.unpack_from(">H", d, p + 2)[0]
         if marker < 0xC0 or size < 2:
             return None
@@ -199,7 +201,10 @@ _SNIFFED = "detected_type string, corrected boolean, carved array<struct<offset:
 
 
 def sniff_column(df: DataFrame, media: str, declared: str) -> DataFrame:
-    """Add detected_type, corrected (it differs from the declared one) and carved (files that start later)."""
+    """Add detected_type, corrected (it differs from the declared one) and carved (files that start later).
+
+    Columns of these names that are there already are replaced.
+    """
 
     @F.pandas_udf(f"struct<{_SNIFFED.replace(' ', ':', 1).replace(', corrected ', ',corrected:').replace(', carved ', ',carved:')}>")
     def udf(values, said):  # noqa: ANN001, ANN202
@@ -212,6 +217,7 @@ def sniff_column(df: DataFrame, media: str, declared: str) -> DataFrame:
             rows.append((whole, whole is not None and whole != claim, [{"offset": o, "length": n, "type": MIME[k]} for o, n, k in files if o]))
         return pd.DataFrame(rows, columns=["detected_type", "corrected", "carved"])
 
+    df = df.drop("detected_type", "corrected", "carved")
     return df.withColumn("_sniffed", udf(F.col(media), F.col(declared))).select(*[F.col(c) for c in df.columns], "_sniffed.detected_type", "_sniffed.corrected", "_sniffed.carved")
 
 

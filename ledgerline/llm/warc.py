@@ -134,9 +134,9 @@ def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 def _checked(headers: dict[str, str], block: bytes, offset: int, length: int) -> Record:
     if (said := headers.get("warc-block-digest")) and said.startswith("sha1:") and said[5:] != base32_sha1(block):
         raise _Bad("block digest differs")
-    kind = headers.get("warc-type")
-    if not kind:
-        raise _Bad("no record type")
+    if not all(headers.get(h) for h in ("warc-type", "warc-record-id", "warc-date")):
+        raise _Bad("a mandatory header is missing")
+    kind = headers["warc-type"]
     payload, digest, size = None, None, None
     if "application/http" in headers.get("content-type", ""):
         head, ended, body = block.partition(b"\r\n\r\n")
