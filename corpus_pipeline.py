@@ -1,7 +1,13 @@
 """A training corpus from ``documents``: filter, drop near copies, cut repeated passages, pack.
 
 Every stage works on what the one before it kept and is written and read again
-between stages.  All but the last return the columns of ``documents``.
+between stages.  All but the last return the columns of ``documents``, extra ones
+included, with their types.
+
+Cases: null and empty texts pass the filter, are near copies of nothing, stay empty
+and are packed as an end id alone (a null text is empty after ``passages``); a null
+doc_id is never a near copy and counts as smaller than the others when passages are
+cut; of rows that repeat a doc_id one stays; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ from array import array
 from collections.abc import Iterator
 from itertools import chain
 
-MEMO_WORDS = 1_000_000
+from . import memory
+
+MEMO_WORDS = 800_000
 MEMO_CHARS = 48
 
 #: A blank that is not the last of its run, or ends the text.
@@ -36,6 +38,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 _BYTES = _byte_letters()
+memory.register("bpe", lambda: _OPEN.clear())
 
 
 class WordEncoder:
@@ -113,6 +116,7 @@ class WordEncoder:
 
 def encoder(path: str) -> WordEncoder:
     """One encoder a worker process and vocabulary."""
+    memory.claim("bpe")
     if path not in _OPEN:
         _OPEN[path] = WordEncoder(path)
     return _OPEN[path]

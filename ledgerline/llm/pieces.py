@@ -36,6 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import memory
 from .common import shuffle_partitions, stage, table
 
 CHUNK_CHARS = 1 << 15
@@ -48,6 +49,7 @@ UNKNOWN_PENALTY = 10.0
 NEVER = -np.inf
 
 _OPEN: dict[str, "PieceModel"] = {}
+memory.register("pieces", _OPEN.clear)
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -232,6 +234,7 @@ def states_at_cuts(matrices: list[np.ndarray]) -> list[int]:
 
 def model_of(path: str) -> PieceModel:
     """One model a worker process and file."""
+    memory.claim("pieces")
     if path not in _OPEN:
         _OPEN[path] = PieceModel(path)
     return _OPEN[path]

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import memory
 from .common import shuffle_partitions, stage, table
 
 BITS = 20
@@ -43,8 +44,9 @@ CLEAN_COST = 2.0
 SEED = 7
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-_MEMO_WORDS = 500_000
+_MEMO_WORDS = 300_000
 _WORDS: dict[str, int] = {}
+memory.register("quality", _WORDS.clear)
 
 
 def grams(text: str) -> np.ndarray:
@@ -74,6 +76,7 @@ def _counts(marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.claim("quality")
         totals = np.zeros((2, size), np.uint32)
         for batch in batches:
             for text, target in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -112,6 +115,7 @@ def _scored(rows: DataFrame, ratios: np.ndarray, cuts: tuple[float, ...], keep:
     kind = rows.schema[keep].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.claim("quality")
         for batch in batches:
             n, weight, evidence = [], [], []
             for text in batch.column(1):
@@ -191,6 +195,7 @@ def keep_accepted(docs: DataFrame, model: Classifier) -> DataFrame:
     at, cut, threshold = docs.columns.index("text"), model.cut, model.threshold
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.claim("quality")
         for batch in batches:
             sums = [known.value[grams(t.as_py() or "")].astype(np.float64) for t in batch.column(at)]
             yield batch.filter(pa.array([float(w[w < cut].sum()) >= threshold for w in sums], pa.bool_()))

@@ -34,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import memory
 from .common import shuffle_partitions, stage, table
 
 DEPTH = 50
 GRAM = 16
 CHUNK_BYTES = 1 << 21
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 NO_ID = -(1 << 63)
 
 _U = np.uint64
@@ -125,6 +126,7 @@ def _chunks(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
     """Texts in ascending doc_id order; equal doc_ids stay in one chunk.  ``rest`` has the carried columns as Arrow data."""
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.claim("suffix")
         import zstandard
         from pyspark import TaskContext
 
@@ -163,6 +165,13 @@ def _chunks(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
     return rows.mapInArrow(chunks, "chunk long, ids array<long>, lengths array<long>, data binary, rest binary")
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time: each holds a chunk."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+        memory.trim()
+
+
 def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     import zstandard
 
@@ -185,9 +194,10 @@ def _blob_rows(chunk: int, bucket: np.ndarray, *parts: np.ndarray) -> pa.RecordB
 
 
 def _answered(blobs: DataFrame, width: int, answer: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Deal blobs by bucket; ``answer`` (entries of ``width`` bytes, rank of their chunk) gives a flag an entry."""
+    """Deal each bucket to a task of its own; ``answer`` (entries of ``width`` bytes, rank of their chunk) gives a flag an entry."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.claim("suffix")
         by_bucket: dict[int, list[tuple[int, bytes]]] = {}
         for batch in batches:
             for bucket, chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -200,7 +210,7 @@ def _answered(blobs: DataFrame, width: int, answer: Callable[[np.ndarray, np.nda
             edges = np.cumsum([0, *sizes])
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array([flags[i:j].tobytes() for i, j in zip(edges, edges[1:])], pa.binary())], names=["chunk", "bucket", "flags"])
 
-    return blobs.repartition(shuffle_partitions(blobs.sparkSession), "bucket").mapInArrow(reduce, _ANSWERS)
+    return blobs.repartitionById(shuffle_partitions(blobs.sparkSession), "bucket").mapInArrow(reduce, _ANSWERS)
 
 
 def _run_answer(blobs: list[bytes], rank: np.ndarray) -> np.ndarray:
@@ -292,19 +302,20 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-_RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary, kept_text string"
+_RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary"
 
 
-def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, the removed spans, the bytes that are kept, and the columns to carry along."""
+def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, carry: Sequence[str] = (), as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, the removed spans, the bytes that are kept (``as_text``: whole characters of UTF-8), and the columns to carry along as carry_0, carry_1, ..."""
     spark = docs.sparkSession
-    buckets = 4 * shuffle_partitions(spark)
+    buckets = shuffle_partitions(spark)
     chunks = stage(_chunks(docs, carry), "suffix-chunks")
     _release(spark)
 
     def send_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.claim("suffix")
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 _, lengths, data = _open(row)
                 b, g, k, _ = Runs(data, lengths, depth, gram).entries(buckets)
                 if (out := _blob_rows(row["chunk"], b, g, (k >> _U(16)).astype(np.uint32), (k & _U(0xFFFF)).astype(np.uint16))) is not None:
@@ -315,8 +326,9 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, carry:
     _release(spark)
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.claim("suffix")
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 _, lengths, data = _open(row)
                 runs = Runs(data, lengths, depth, gram)
                 b, _, _, entry = runs.entries(buckets)
@@ -328,14 +340,15 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, carry:
     window_flags = stage(_answered(known.mapInArrow(send_windows, _BLOBS), 8, _window_answer), "suffix-windows")
     _release(spark)
 
-    carried = list(carry)
-    schema = ", ".join([_RESULT, *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]])
+    carried = [f"carry_{k}" for k in range(len(carry))]
+    schema = ", ".join([_RESULT, *[f"{name} {docs.schema[c].dataType.simpleString()}" for name, c in zip(carried, carry, strict=True)]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.claim("suffix")
         import zstandard
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 ids, lengths, data = _open(row)
                 runs = Runs(data, lengths, depth, gram)
                 b, _, _, entry = runs.entries(buckets)
@@ -348,10 +361,14 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, carry:
                     mine = gone[at : at + n]
                     turns = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]]).astype(np.int8)))
                     spans = [{"start": i, "stop": j} for i, j in turns.reshape(-1, 2).tolist()]
-                    out.append((None if doc_id == NO_ID else doc_id, n, int(mine.sum()), spans, (kept := data[at : at + n][~mine].tobytes()), kept.decode("utf-8", "ignore")))
+                    kept = data[at : at + n][~mine].tobytes()
+                    if as_text:
+                        # A character that was cut through goes whole.
+                        kept = kept.decode("utf-8", "ignore").encode()
+                    out.append((None if doc_id == NO_ID else doc_id, n, int(mine.sum()), spans, kept))
                     at += n
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.binary(), pa.string()]
-                names = ["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_text"]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.binary()]
+                names = ["doc_id", "n_bytes", "n_removed", "spans", "kept"]
                 made = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
                 if carry:
                     rest = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(row["rest"])).read_all()
