@@ -16,37 +16,37 @@ def apply(spark, f, *values):
 
 @pytest.mark.parametrize(
     ("given_text", "want"),
-    [("۱۲۳۴۵", "12345"), ("٦٧٨٩٠", "67890"), ("۱۲،۳۴", "12,34"), ("۴۵۔", "45."), ("۵۰٫۵", "50.5"), ("۱٬۰۰۰", "1000"), ("كي", "کی"), ("“a” ‘b’", "\"a\" 'b'"), ("  a \t b\xa0 ", "a b"), (None, ""), ("", "")],
+    [("۹۸۷۶", "9876"), ("٠١٢٣", "0123"), ("۷،۸", "7,8"), ("۳۱۔", "31."), ("۲٫۷۵", "2.75"), ("۲٬۵۰۰", "2500"), ("كي", "کی"), ("“a” ‘b’", "\"a\" 'b'"), ("  a \t b\xa0 ", "a b"), (None, ""), ("", "")],
 )
 def test_normalize_digits(spark, given_text, want):
     assert apply(spark, X.normalize_digits, given_text) == want
 
 
-@pytest.mark.parametrize(("given_text", "want"), [("انـوائ‌س", "انوائس"), ("﻿بِل‍", "بِل"), ("ﬁ Ⅳ", "fi IV"), ("بل  2024 \t- 001", "بل 2024 - 001"), (" x\x1c", "x")])
+@pytest.mark.parametrize(("given_text", "want"), [("رقـ‌م", "رقم"), ("﻿تِل‍", "تِل"), ("ﬁ Ⅳ", "fi IV"), ("رقم  77 \t- 5", "رقم 77 - 5"), (" x\x1c", "x")])
 def test_normalize_text(spark, given_text, want):
     assert apply(spark, X.normalize_text, given_text) == want
 
 
-@pytest.mark.parametrize(("given_text", "want"), [("1,250.50", "1250.5"), ("۲۵۰", "250"), ("Rs. 3,400", "3400"), ("روپے ۷۵۰", "750"), ("-5", "-5"), ("", None), (None, None), ("N/A", None)])
+@pytest.mark.parametrize(("given_text", "want"), [("2,640.75", "2640.75"), ("۳۱۵", "315"), ("PKR 9,100", "9100"), ("کل ۴۲۰", "420"), ("-5", "-5"), ("", None), (None, None), ("none", None)])
 def test_parse_amount(spark, given_text, want):
     assert apply(spark, X.parse_amount, given_text) == (None if want is None else Decimal(want))
 
 
 @pytest.mark.parametrize(
     ("given_text", "want"),
-    [("15-06-2025", date(2025, 6, 15)), ("2025/06/15", date(2025, 6, 15)), ("۱۵-۰۶-۲۰۲۵", date(2025, 6, 15)), ("2024 10 23", date(2024, 10, 23)), ("1.2.2024 x", date(2024, 2, 1)), ("31-02-2025", None), ("0000-01-01", None), ("not a date", None), (None, None)],
+    [("09-03-2024", date(2024, 3, 9)), ("2024/03/09", date(2024, 3, 9)), ("۰۹-۰۳-۲۰۲۴", date(2024, 3, 9)), ("2025 1 9", date(2025, 1, 9)), ("1.2.2024 x", date(2024, 2, 1)), ("30-02-2024", None), ("0000-01-01", None), ("no day", None), (None, None)],
 )
 def test_parse_date(spark, given_text, want):
     assert apply(spark, X.parse_date, given_text) == want
     assert apply(spark, X.iso_date, given_text) == (want.isoformat() if want else None)
 
 
-@pytest.mark.parametrize(("a", "b", "limit", "want"), [("", "abc", None, 3), ("kitten", "sitting", None, 3), ("kitten", "sitting", 3, 3), ("abc", "xyz", 1, 2), ("same", "same", 0, 0), ("a", "abcdefgh", 2, 3)])
+@pytest.mark.parametrize(("a", "b", "limit", "want"), [("", "four", None, 4), ("ledger", "lodged", None, 2), ("ledger", "lodged", 2, 2), ("ink", "pot", 1, 2), ("line", "line", 0, 0), ("i", "invoices", 2, 3)])
 def test_edit_distance(spark, a, b, limit, want):
     assert apply(spark, lambda x, y: X.edit_distance(x, y, limit), a, b) == want
 
 
-@pytest.mark.parametrize(("a", "b", "want"), [("۱۲۳", "123", 1.0), ("", "", 1.0), (None, "", 1.0), ("abc", "", 0.0), ("abcd", "abce", 0.75)])
+@pytest.mark.parametrize(("a", "b", "want"), [("۴۵۶", "456", 1.0), ("", "", 1.0), (None, "", 1.0), ("row", "", 0.0), ("rows", "rowd", 0.75)])
 def test_similarity(spark, a, b, want):
     assert apply(spark, X.similarity, a, b) == want
 
