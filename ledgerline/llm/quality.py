@@ -1,15 +1,22 @@
 """Quality classifier: importance resampling with hashed n-gram generative models.
 
 Target text is what the labels call good (quality 1, not toxic); raw text is the
-corpus.  Both models count hashed n-grams, once a document.  The log-ratio of a
-gram is smoothed towards "as frequent as expected", so that a rare gram says little.
-
-The sum of a document's log-ratios is its importance weight; a Gumbel top-k over
-the weights draws the requested share of the corpus without replacement.
-
-A document is rejected when its evidence, the sum of those log-ratios that fall
-below a cut, is under a threshold.  Cut and threshold are those with the least cost on
-labelled documents that the target model has not seen.  They are fitted on at most
+corpus.  Both models count hashed unigrams and bigrams, each as often as it occurs.
+A third part counts the distinct tokens once a document, for rejection only.  The
+log-ratio of a gram is smoothed towards "as frequent as expected", so that a rare
+gram says little.
+
+The sum of the log-ratios of a document's unigrams and bigrams is its importance
+weight; a Gumbel top-k over the weights draws the requested share of the corpus
+without replacement.
+
+Evidence is the sum of those log-ratios that fall below a cut.  A document is
+rejected when the evidence of its distinct tokens or that of its bigrams is under a
+threshold of its own.  Cuts and thresholds are those with the least cost on labelled
+documents that the target model has not seen; those of the bigrams are fitted on what
+the tokens accept.  Among the distinct tokens is an echo mark of texts in which many
+tokens repeat the one before: the bigrams of such texts differ by their word, so the
+bigrams of one text say little about the next.  All are fitted on at most
 ``LABELLED_ROWS`` rows, taken in the order of a hash of their doc_id; the raw model
 and the scores cover all documents.
 
@@ -36,6 +43,11 @@ from .common import shuffle_partitions, stage, table
 
 BITS = 20
 SLICES = 256
+#: Parts of the count arrays, of 2 ** BITS entries each; the last two are the n-gram models.
+DISTINCT, UNIGRAMS, BIGRAMS = range(3)
+PARTS = 3
+#: The parts whose evidence can reject a document.
+JUDGES = (DISTINCT, BIGRAMS)
 LABELLED_ROWS = 50_000
 SAMPLE_SHARE = 0.5
 CUTS = (-0.7, -1.0, -1.5, -2.0, -2.5, -3.0)
@@ -46,25 +58,31 @@ SEED = 7
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MEMO_WORDS = 300_000
 _WORDS: dict[str, int] = {}
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: Grams that are held before they are added to the counts.
+_HELD = 1 << 20
 memory.register("quality", _WORDS.clear)
 
 
-def grams(text: str) -> np.ndarray:
-    """Distinct hashed grams of a text: its tokens, and how often a token repeats the one before."""
+def grams(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed grams of a text: distinct tokens with the echo mark, tokens and bigrams as often as they occur.  Each part has entries of its own."""
     import xxhash
 
     tokens = _TOKEN.findall(text.lower())
     if len(_WORDS) > _MEMO_WORDS:
         _WORDS.clear()
     for w in set(tokens).difference(_WORDS):
-        _WORDS[w] = xxhash.xxh3_64_intdigest(w) >> (64 - BITS)
-    codes = np.fromiter(map(_WORDS.__getitem__, tokens), np.int64, len(tokens))
+        _WORDS[w] = xxhash.xxh3_64_intdigest(w)
+    hashes = np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
+    codes = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+    pairs = (hashes[:-1] * _MIX[0] + hashes[1:]) * _MIX[1]
+    pairs = (pairs ^ pairs >> np.uint64(32)) * _MIX[0]
     found = np.unique(codes)
     if len(codes) >= 10:
         echo = np.count_nonzero(codes[1:] == codes[:-1]) / len(codes)
         if echo >= 0.2:
             found = np.append(found, xxhash.xxh3_64_intdigest(f"<echo {min(2, int(echo * 5))}>") >> (64 - BITS))
-    return found
+    return found, codes + (UNIGRAMS << BITS), (pairs >> np.uint64(64 - BITS)).astype(np.int64) + (BIGRAMS << BITS)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -72,18 +90,32 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _counts(marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """How many documents, and how many of the target's, have each gram.  Two arrays of 2 ** BITS entries."""
-    size = 1 << BITS
+    """How often the corpus, and how often the target, has each gram.  Two arrays of PARTS * 2 ** BITS entries."""
+    size = PARTS << BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory.claim("quality")
         totals = np.zeros((2, size), np.uint32)
+        held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+        n = 0
+
+        def flush() -> None:
+            for total, found in zip(totals, held, strict=True):
+                if found:
+                    np.add(total, np.bincount(np.concatenate(found), minlength=size), out=total, casting="unsafe")
+                found.clear()
+
         for batch in batches:
             for text, target in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 found = grams(text.as_py())
-                totals[0, found] += 1
+                held[0].extend(found)
                 if target:
-                    totals[1, found] += 1
+                    held[1].extend(found)
+                n += sum(map(len, found))
+                if n >= _HELD:
+                    flush()
+                    n = 0
+        flush()
         cut = totals.reshape(2, SLICES, -1)
         used = [s for s in range(SLICES) if cut[0, s].any()]
         yield pa.RecordBatch.from_pydict({"slice": pa.array(used, pa.int32()), "counts": pa.array([cut[:, s].tobytes() for s in used], pa.binary())})
@@ -105,12 +137,21 @@ def _counts(marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    expected = raw * (target.sum() / max(1.0, raw.sum()))
-    return (np.log(target + 1) - np.log(expected + 1)).astype(np.float32) if target.any() else np.zeros(len(raw), np.float32)
+    if not target.any():
+        return np.zeros(len(raw), np.float32)
+    raw, target = raw.reshape(PARTS, -1), target.reshape(PARTS, -1)
+    expected = raw * (target.sum(1, keepdims=True) / np.maximum(1.0, raw.sum(1, keepdims=True)))
+    return (np.log(target + 1) - np.log(expected + 1)).astype(np.float32).ravel()
 
 
-def _scored(rows: DataFrame, ratios: np.ndarray, cuts: tuple[float, ...], keep: str) -> DataFrame:
-    """The column ``keep``, the number of grams, the weight, and the evidence under each cut."""
+def _evidence(known: np.ndarray, found: tuple[np.ndarray, ...], cuts: tuple[tuple[int, float], ...]) -> list[float]:
+    """For each (part, cut) the sum of the part's log-ratios under the cut."""
+    w = {part: known[found[part]].astype(np.float64) for part, _ in cuts}
+    return [float(w[part][w[part] < cut].sum()) for part, cut in cuts]
+
+
+def _scored(rows: DataFrame, ratios: np.ndarray, cuts: tuple[tuple[int, float], ...], keep: str) -> DataFrame:
+    """The column ``keep``, the number of unigrams and bigrams, the weight, and the evidence of each (part, cut)."""
     known = rows.sparkSession.sparkContext.broadcast(ratios)
     kind = rows.schema[keep].dataType.simpleString()
 
@@ -119,10 +160,10 @@ def _scored(rows: DataFrame, ratios: np.ndarray, cuts: tuple[float, ...], keep:
         for batch in batches:
             n, weight, evidence = [], [], []
             for text in batch.column(1):
-                w = known.value[grams(text.as_py())].astype(np.float64)
-                n.append(len(w))
-                weight.append(float(w.sum()))
-                evidence.append([float(w[w < c].sum()) for c in cuts])
+                found = grams(text.as_py())
+                n.append(len(found[UNIGRAMS]) + len(found[BIGRAMS]))
+                weight.append(float(sum(known.value[found[part]].sum(dtype=np.float64) for part in (UNIGRAMS, BIGRAMS))))
+                evidence.append(_evidence(known.value, found, cuts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(weight, pa.float64()), pa.array(evidence, pa.list_(pa.float64()))], names=[keep, "n_grams", "log_weight", "evidence"])
 
     return rows.select(keep, "text").mapInArrow(score, f"{keep} {kind}, n_grams long, log_weight double, evidence array<double>")
@@ -165,11 +206,11 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
 
 @dataclass
 class Classifier:
-    """Log-ratios of the grams, and the cut and threshold of the evidence."""
+    """Log-ratios of the grams, and for each of JUDGES the cut and threshold of its evidence."""
 
     ratios: np.ndarray
-    cut: float
-    threshold: float
+    cuts: tuple[tuple[int, float], ...]
+    thresholds: tuple[float, ...]
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Classifier:
@@ -182,35 +223,42 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS)
     marked = texts.join(sample, "doc_id", "left")
     raw, target = _counts(marked.select("text", (F.col("good") & ~F.col("held_out")).alias("target")))
     ratios = _ratios(raw, target)
-    held = _scored(texts.join(sample.where("held_out"), "doc_id").select("good", "text"), ratios, CUTS, "good").select("good", "evidence").collect()
-    if not held:
-        return Classifier(ratios, CUTS[0], float("-inf"))
-    cut, threshold = _threshold(np.array([r["evidence"] for r in held]), np.array([r["good"] for r in held], bool))
-    return Classifier(ratios, CUTS[cut], threshold)
+    tried = tuple((part, cut) for part in JUDGES for cut in CUTS)
+    held = _scored(texts.join(sample.where("held_out"), "doc_id").select("good", "text"), ratios, tried, "good").select("good", "evidence").collect()
+    evidence = np.array([r["evidence"] for r in held], np.float64).reshape(-1, len(JUDGES), len(CUTS))
+    good = np.array([r["good"] for r in held], bool)
+    cuts, thresholds = [], []
+    for k, part in enumerate(JUDGES):
+        at, threshold = _threshold(evidence[:, k], good) if len(good) else (0, float("-inf"))
+        cuts.append((part, CUTS[at]))
+        thresholds.append(threshold)
+        accepted = evidence[:, k, at] >= threshold
+        evidence, good = evidence[accepted], good[accepted]
+    return Classifier(ratios, tuple(cuts), tuple(thresholds))
 
 
 def keep_accepted(docs: DataFrame, model: Classifier) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text the classifier accepts."""
     known = docs.sparkSession.sparkContext.broadcast(model.ratios)
-    at, cut, threshold = docs.columns.index("text"), model.cut, model.threshold
+    at, cuts, thresholds = docs.columns.index("text"), model.cuts, model.thresholds
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory.claim("quality")
         for batch in batches:
-            sums = [known.value[grams(t.as_py() or "")].astype(np.float64) for t in batch.column(at)]
-            yield batch.filter(pa.array([float(w[w < cut].sum()) >= threshold for w in sums], pa.bool_()))
+            sums = [_evidence(known.value, grams(t.as_py() or ""), cuts) for t in batch.column(at)]
+            yield batch.filter(pa.array([all(e >= t for e, t in zip(x, thresholds, strict=True)) for x in sums], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, sample_share: float = SAMPLE_SHARE) -> DataFrame:
-    """doc_id, n_grams, log_weight, evidence, gumbel_key, accepted and drawn."""
+    """doc_id, n_grams, log_weight, evidence of the distinct tokens and of the bigrams, gumbel_key, accepted and drawn."""
     model = fit(docs, labels, labelled_rows)
-    scores = _scored(_texts(docs), model.ratios, (model.cut,), "doc_id").select("doc_id", "n_grams", "log_weight", F.col("evidence")[0].alias("evidence"))
+    scores = _scored(_texts(docs), model.ratios, model.cuts, "doc_id").select("doc_id", "n_grams", "log_weight", F.col("evidence")[0].alias("evidence"), F.col("evidence")[1].alias("bigram_evidence"))
     uniform = (F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     scores = stage(scores.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))), "quality-scores")
     last = kth_largest(scores, "gumbel_key", round(sample_share * scores.count()))
-    return scores.withColumn("accepted", F.col("evidence") >= F.lit(model.threshold)).withColumn("drawn", F.col("gumbel_key") >= F.lit(last))
+    return scores.withColumn("accepted", (F.col("evidence") >= F.lit(model.thresholds[0])) & (F.col("bigram_evidence") >= F.lit(model.thresholds[1]))).withColumn("drawn", F.col("gumbel_key") >= F.lit(last))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import struct
 import zlib
 
@@ -134,6 +135,28 @@ def test_classifier_on_held_out_documents(spark):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in rows if r["accepted"]}
 
 
+def test_bad_texts_of_ordinary_words(spark):
+    """Clean and bad texts have the same tokens; only their order, or how often a pair is there, differs."""
+    words = [f"w{k}" for k in range(40)]
+    docs, labels = [], []
+    for k in range(900):
+        draw = random.Random(k)
+        pairs = [f"{a} {b}" for a, b in zip(words[::2], words[1::2], strict=True)]
+        if k % 3 == 1:
+            pairs = [f"{b} {a}" for a, b in zip(words[::2], words[1::2], strict=True)]
+        draw.shuffle(pairs)
+        if k % 3 == 2:
+            pairs += ["w3 w8"] * 60
+        docs.append((k, " ".join(pairs)))
+        if k % 2:
+            labels.append((k, int(k % 3 != 2), int(k % 3 == 1)))
+    tags = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = quality.classify(frame(spark, docs), tags).collect()
+    unseen = [r for r in rows if r["doc_id"] % 2 == 0]
+    assert all(r["accepted"] == (r["doc_id"] % 3 == 0) for r in unseen)
+    assert {r["n_grams"] for r in rows if r["doc_id"] % 3 == 2} == {160 + 159}
+
+
 def test_classifier_without_labels_or_documents(spark):
     tags = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.classify(documents(spark), tags).where("not accepted").count() == 0
