@@ -40,7 +40,6 @@ DATE = "2000-01-01T00:00:00Z"
 
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
-_MOST_HEADER = 1 << 16
 _STEP = 1 << 14
 
 
@@ -113,7 +112,9 @@ def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the uncompressed record at ``at``."""
     if not _VERSION_LINE.match(data, at):
         raise _Bad("no version line")
-    stop = data.find(b"\r\n\r\n", at, at + _MOST_HEADER)
+    # No header has a version line inside: the search ends at the next one, and all searches together are one pass.
+    following = _VERSION_LINE.search(data, at + len(VERSION))
+    stop = data.find(b"\r\n\r\n", at, following.start() if following else len(data))
     if stop < 0:
         raise _Bad("header without end")
     headers = {}

@@ -34,6 +34,21 @@ def test_round_trip(spark, least, revisits):
         assert r["payload"] is None if r["record_type"] == "revisit" else bytes(r["payload"]) == text.encode()
 
 
+def test_urls_of_any_length(spark):
+    rows = [(1, "data:text/html," + "x" * 200_000, "long"), (2, "http://a/" + " " * 70_000, "blanks"), (3, "http://a/" + " " * 70_000, "long"), (4, "u", "short")]
+    got = {r["page_id"]: r for r in warc.read_archives(spark, warc.write_archives(frame(spark, rows))).collect()}
+    assert set(got) == {1, 2, 3, 4} and all(r["gap_reason"] is None for r in got.values())
+    assert all(got[p]["target_uri"] == u.replace(" ", "%20") for p, u, _ in rows)
+    assert (got[3]["record_type"], got[3]["refers_to"], bytes(got[2]["payload"])) == ("revisit", 1, b"blanks")
+
+
+@pytest.mark.parametrize("gzip", [True, False])
+def test_a_long_header_between_others(gzip):
+    parts = [warc.make_record(k, "u" * size, b"text", None, False) for k, size in enumerate((5, 200_000, 5))]
+    data = b"".join(warc.gzip_member(r) if gzip else r for r in parts)
+    assert found(data) == ([warc.RECORD_ID.format(k) for k in range(3)], [])
+
+
 def test_no_pages(spark):
     path = warc.write_archives(frame(spark, []))
     assert warc.read_archives(spark, path).count() == 0
