@@ -350,7 +350,17 @@ def edit_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1
 WHERE octet_length(encode(a.text)) = length(a.text) AND octet_length(encode(b.text)) = length(b.text)""")
 def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "benchmark").where(F.octet_length("text") == F.char_length("text"))
+    """Of pairs in ASCII, where the bytes that DuckDB counts are characters; similarity_pairs_whole has all."""
+    return _similarities(table(spark, sf_dir, "benchmark").where(F.octet_length("text") == F.char_length("text")))
+
+
+@query()
+def similarity_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of neighbours, in any script; DuckDB's levenshtein counts bytes, so there is no SQL."""
+    return _similarities(table(spark, sf_dir, "benchmark"))
+
+
+def _similarities(t: DataFrame) -> DataFrame:
     a = t.select(F.col("item_id").alias("a"), F.col("text").alias("x"))
     b = t.select((F.col("item_id") - 1).alias("a"), F.col("item_id").alias("b"), F.col("text").alias("y"))
     return a.join(b, "a").select("a", "b", F.round(X.similarity("x", "y"), 6).alias("similarity"))

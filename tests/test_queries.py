@@ -49,3 +49,24 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", [n for n in sorted(entry.queries()) if n not in entry.oracle_sql() and not n.startswith("op") and n != "pipeline"])
 def test_queries_without_sql_run(spark, name):
     assert entry.queries()[name](spark, str(DATA)).count() > 0
+
+
+def test_similarities_of_any_script(spark, tmp_path):
+    texts = ["naïve café", "naive cafe", "Größe über alles", "Grosse uber alles", "¿Qué pasó?", "", None, "日本語 😀", "日本 😀x"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {}
+    for k, (a, b) in enumerate(zip(texts, texts[1:])):
+        a, b = a or "", b or ""
+        want[k] = round(1 - distance(a, b) / max(len(a), len(b)), 6) if a or b else 1.0
+    got = {r["a"]: r["similarity"] for r in entry.queries()["similarity_pairs_whole"](spark, str(tmp_path)).collect()}
+    assert got == want
+    assert entry.queries()["similarity_pairs_whole"](spark, str(DATA)).count() == spark.read.parquet(f"{DATA}/benchmark.parquet").count() - 1
