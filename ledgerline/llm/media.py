@@ -3,8 +3,15 @@
 An Aho-Corasick automaton finds the magic bytes of all known formats in one
 pass.  A validator for the format then walks its structure and lengths, so a
 magic that merely occurs in other data is dropped.  A column's declared type is
-corrected to that of the valid file at its start, and valid files inside are
-carved out.
+corrected to that of the valid file at its start, and valid files after it are
+carved out.  Files inside a file are listed with the offset of the innermost file
+around them.
+
+A PDF runs to its last revision; the offset after startxref must lead to a table,
+that of a later revision to one in the appended bytes.  An offset of 0 is taken where
+no end of the file has a better one and the file isn't linearised.  An MP4 box of
+size 0 runs to the end of the data; a known box that is cut short makes the file
+invalid.
 
 Cases: a null text is stored as one padded block; a null or unrecognised media
 value has no detected type and nothing carved; repeated rows are kept; an empty
@@ -14,6 +21,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -134,12 +142,29 @@ def _bmp(d: bytes, at: int) -> tuple[str, int] | None:
     return ("bmp", size) if sound and start >= 14 + head and start + pixels <= size and at + size <= len(d) else None
 
 
+_PDF_END = re.compile(rb"startxref\s+(\d{1,18})\s+%%EOF")
+_XREF = re.compile(rb"xref\b|\d+\s+\d+\s+obj\b")
+_LINEAR = re.compile(rb"/Linearized\b[^>]*?/L\s+(\d{1,18})")
+
+
 def _pdf(d: bytes, at: int) -> tuple[str, int] | None:
     if d[at + 5 : at + 7] not in (b"1.", b"2."):
         return None
-    xref = d.find(b"startxref", at)
-    end = d.find(b"%%EOF", xref) if xref > 0 else -1
-    return ("pdf", end + 5 - at) if end > 0 else None
+    linear = _LINEAR.search(d, at, at + 1024)
+    whole = at + int(linear[1]) if linear else 0
+    end = bare = 0
+    for found in _PDF_END.finditer(d, at):
+        table = at + int(found[1])
+        if int(found[1]) == 0:
+            bare = bare or found.end()
+        elif table < found.start() and _XREF.match(d, table) and (not end or table >= end or found.end() <= whole):
+            end = found.end()
+        elif linear and found.end() <= whole and table < whole and _XREF.match(d, table):
+            end = max(end, found.end())  # the first part of a linearised file may name the table at its end
+    if linear:  # line ends may follow the last mark
+        return ("pdf", end - at) if end and end + 2 >= whole else None
+    end = end or bare
+    return ("pdf", end - at) if end else None
 
 
 def _ogg(d: bytes, at: int) -> tuple[str, int] | None:
@@ -156,14 +181,27 @@ def _ogg(d: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
+#: Boxes at the top of an MP4 file: after one of these names the size must hold.
+_BOXES = {b"ftyp", b"moov", b"mdat", b"free", b"skip", b"wide", b"moof", b"mfra", b"sidx", b"ssix", b"styp", b"meta", b"uuid", b"pdin", b"prft", b"emsg"}
+
+
 def _mp4(d: bytes, at: int) -> tuple[str, int] | None:
     if at < 0:
         return None
     p, seen = at, set()
     while p + 8 <= len(d):
         size, name = struct.unpack_from(">I4s", d, p)
-        if size < 8 or p + size > len(d) or not name.isalnum():
+        if name not in _BOXES and not (size >= 8 and p + size <= len(d) and name.isalnum()) or name == b"ftyp" and p > at:
             break
+        least = 8
+        if size == 1:
+            if p + 16 > len(d):
+                return None
+            least, size = 16, struct.unpack_from(">Q", d, p + 8)[0]
+        elif size == 0:
+            size = len(d) - p
+        if size < least or p + size > len(d):
+            return None
         seen.add(name)
         p += size
     return ("mp4", p - at) if {b"ftyp", b"moov"} <= seen else None
@@ -186,39 +224,52 @@ def _automaton():
     return _AUTOMATON[0]
 
 
+def sniff_nested(data: bytes) -> list[tuple[int, int, str, int | None]]:
+    """(offset, length, type, offset of the innermost file around it or None) of the valid files in ``data``."""
+    found: list[tuple[int, int, str, int | None]] = []
+    hits = sorted((end - back, kind) for end, (back, kind) in _automaton().iter(data.decode("latin-1")))
+    around: list[tuple[int, int]] = []
+    for at, kind in hits:
+        if at < 0 or not (hit := VALIDATORS[kind](data, at)):
+            continue
+        end = at + hit[1]
+        while around and at >= around[-1][1]:
+            around.pop()
+        if around and end > around[-1][1]:
+            continue  # neither inside nor after the file around it
+        found.append((at, hit[1], hit[0], around[-1][0] if around else None))
+        around.append((at, end))
+    return found
+
+
 def sniff(data: bytes) -> list[tuple[int, int, str]]:
     """(offset, length, type) of the valid files in ``data``; a file inside another one is not listed."""
-    found, covered = [], 0
-    for end, (back, kind) in _automaton().iter(data.decode("latin-1")):
-        at = end - back
-        if at >= covered and (hit := VALIDATORS[kind](data, at)):
-            found.append((at, hit[1], hit[0]))
-            covered = at + hit[1]
-    return found
+    return [x[:3] for x in sniff_nested(data) if x[3] is None]
 
 
-_SNIFFED = "detected_type string, corrected boolean, carved array<struct<offset:long,length:long,type:string>>"
+_SNIFFED = "detected_type string, corrected boolean, carved array<struct<offset:long,length:long,type:string>>, nested array<struct<offset:long,length:long,type:string,parent:long>>"
 
 
 def sniff_column(df: DataFrame, media: str, declared: str) -> DataFrame:
-    """Add detected_type, corrected (it differs from the declared one) and carved (files that start later).
+    """Add detected_type, corrected (it differs from the declared one), carved (files that start later) and nested (files inside those).
 
     Columns of these names that are there already are replaced.
     """
 
-    @F.pandas_udf(f"struct<{_SNIFFED.replace(' ', ':', 1).replace(', corrected ', ',corrected:').replace(', carved ', ',carved:')}>")
+    @F.pandas_udf(f"struct<{_SNIFFED.replace(' ', ':', 1).replace(', corrected ', ',corrected:').replace(', carved ', ',carved:').replace(', nested ', ',nested:')}>")
     def udf(values, said):  # noqa: ANN001, ANN202
         import pandas as pd
 
         rows = []
         for value, claim in zip(values, said, strict=True):
-            files = sniff(bytes(value)) if value is not None else []
+            every = sniff_nested(bytes(value)) if value is not None else []
+            files = [x[:3] for x in every if x[3] is None]
             whole = MIME[files[0][2]] if files and files[0][0] == 0 else None
-            rows.append((whole, whole is not None and whole != claim, [{"offset": o, "length": n, "type": MIME[k]} for o, n, k in files if o]))
-        return pd.DataFrame(rows, columns=["detected_type", "corrected", "carved"])
+            rows.append((whole, whole is not None and whole != claim, [{"offset": o, "length": n, "type": MIME[k]} for o, n, k in files if o], [{"offset": o, "length": n, "type": MIME[k], "parent": p} for o, n, k, p in every if p is not None]))
+        return pd.DataFrame(rows, columns=["detected_type", "corrected", "carved", "nested"])
 
-    df = df.drop("detected_type", "corrected", "carved")
-    return df.withColumn("_sniffed", udf(F.col(media), F.col(declared))).select(*[F.col(c) for c in df.columns], "_sniffed.detected_type", "_sniffed.corrected", "_sniffed.carved")
+    df = df.drop("detected_type", "corrected", "carved", "nested")
+    return df.withColumn("_sniffed", udf(F.col(media), F.col(declared))).select(*[F.col(c) for c in df.columns], "_sniffed.detected_type", "_sniffed.corrected", "_sniffed.carved", "_sniffed.nested")
 
 
 def wav_of(payload: bytes) -> bytes:
@@ -249,30 +300,30 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(stored, "doc_id long, n_bytes long, declared_type string, media binary")
 
 
-_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, detected_type string, n_carved int"
+_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, detected_type string, n_carved int, corrected boolean"
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Sniff the stored bytes, take the samples out of the valid file and describe them."""
+    """Sniff the stored bytes, take the samples out of the valid file and describe them; n_carved counts the files in the payload, too."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, n_bytes, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for doc_id, n_bytes, data, claim in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 data = data.as_py()
-                files = sniff(data)
+                files = sniff_nested(data)
                 kind = files[0][2] if files and files[0][0] == 0 else None
                 payload = samples_of(data[: files[0][1]]) if kind == "wav" else data
                 x = np.frombuffer(payload, np.uint8)
                 wide = x.astype(np.int64) - 128
                 feature = f"{kind};n={len(x)};sum={int(wide.sum())};energy={int((wide * wide).sum())};turns={int(np.count_nonzero(np.diff(x >= 128)))};steps={int(np.abs(np.diff(wide)).sum())};low={int(x.min())};high={int(x.max())}"
-                rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, MIME.get(kind), len(files) - (kind is not None)))
+                rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, MIME.get(kind), len(files) - (kind is not None), kind is not None and MIME[kind] != claim))
             if rows:
                 names = [c.split()[0] for c in _FEATURES.split(", ")]
-                kinds = [{"long": pa.int64(), "string": pa.string(), "int": pa.int32()}[c.split()[1]] for c in _FEATURES.split(", ")]
+                kinds = [{"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]] for c in _FEATURES.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(features, _FEATURES)
+    return media.select("doc_id", "n_bytes", "media", "declared_type").mapInArrow(features, _FEATURES)
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:

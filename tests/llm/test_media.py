@@ -49,6 +49,47 @@ def test_columns_are_corrected(spark):
     assert (got[2]["corrected"], got[3]["detected_type"], got[4]["carved"], got[5]["detected_type"]) == (False, None, [], None)
 
 
+def pdf(body=b"1 0 obj\nendobj\n"):
+    data = b"%PDF-1.4\n" + body
+    return data + b"xref\n0 1\ntrailer\nstartxref\n%d\n%%%%EOF" % len(data)
+
+
+def test_pdf_runs_to_its_last_revision():
+    one = pdf()
+    two = one + b"\n2 0 obj\nendobj\n"
+    two += b"xref\n2 1\ntrailer\nstartxref\n%d\n%%%%EOF" % len(two)
+    assert media.sniff(b"-" + two + b" and more") == [(1, len(two), "pdf")]
+    assert media.sniff(one + one) == [(0, len(one), "pdf"), (len(one), len(one), "pdf")]
+    assert media.sniff(one.replace(b"startxref\n", b"startxref\n9")) == []
+    head = b"%PDF-1.4\n1 0 obj\n<</Linearized 1/L 000200>>endobj\n"
+    linear = head + b"xref\n0 1\ntrailer\nstartxref\n0\n%%EOF\n" + b"2 0 obj\nendobj\n"
+    tail = b"xref\n0 1\ntrailer\nstartxref\n%d\n%%%%EOF" % len(head)
+    linear = linear.ljust(200 - len(tail)) + tail
+    assert media.sniff(linear) == [(0, 200, "pdf")]
+    assert media.sniff(linear[:150]) == []
+
+
+def test_mp4_box_sizes():
+    ftyp, moov = MP4[:16], MP4[16:]
+    long_box = struct.pack(">I4sQ", 1, b"mdat", 16 + 50) + b"x" * 50
+    to_end = struct.pack(">I4s", 0, b"mdat") + b"y" * 50
+    for data in (ftyp + moov + long_box, ftyp + long_box + moov, ftyp + moov + to_end):
+        assert media.sniff(data) == [(0, len(data), "mp4")]
+    assert media.sniff((ftyp + moov + long_box)[:-1]) == []
+    assert media.sniff(MP4 + MP4) == [(0, len(MP4), "mp4"), (len(MP4), len(MP4), "mp4")]
+
+
+def test_nested_files_have_their_parent(spark):
+    data = pdf(b"stream\n" + JPEG + b"\nendstream\n")
+    at = data.index(JPEG)
+    assert media.sniff_nested(data) == [(0, len(data), "pdf", None), (at, len(JPEG), "jpeg", 0)]
+    row = media.sniff_column(spark.createDataFrame([(data, "x")], "data binary, declared string"), "data", "declared").first()
+    assert (row["carved"], [tuple(x) for x in row["nested"]]) == ([], [(at, len(JPEG), "image/jpeg", 0)])
+    stored = spark.createDataFrame([(1, 5, "application/octet-stream", media.wav_of(FILES["gif"].ljust(192))), (2, 5, "audio/wav", FILES["wav"])], "doc_id long, n_bytes long, declared_type string, media binary")
+    got = {r["doc_id"]: (r["n_carved"], r["corrected"]) for r in media.media_features(stored).collect()}
+    assert got == {1: (1, True), 2: (0, False)}
+
+
 def test_stored_texts_come_back(spark):
     got = media.media_features(media.store_texts(documents(spark))).collect()
     want = {}
