@@ -1,22 +1,26 @@
-"""Exact repeated-passage removal: depth-limited, most-significant-digit-first sorting of suffixes.
+"""Exact repeated-passage removal: depth-limited, most-significant-digit-first radix sorting of suffixes.
 
 Every position of a text starts a suffix that matters only through its first
-``depth`` bytes (a window).  The sort refines groups of windows by ever longer
-keys and drops a group as soon as it is settled, so few windows are ever
-compared in full:
-
-  pass 1  digit: a ``gram`` of each window, the one with the least hash in it
-          (equal windows have the same one, at the same place).  Neighbouring
-          windows with the same gram form a run and travel as one entry.
-  pass 2  digit: all bytes under a run.  Runs with equal bytes are settled at
-          once; a gram whose runs are all equal needs no further pass.
-  pass 3  digit: the whole window, for the runs that share a gram but differ.
-
-Passes 1 and 2 share a shuffle.  Texts stand in chunks in ascending doc_id
-order, a chunk sends each key once, and the answer for a key is one bit: an
-earlier chunk has it.  So a passage that a third of all documents share costs one
-entry a chunk, not one a document, and no group is gathered.  Keys are hashes of
-more than 80 bits (run bytes) and 64 bits (windows).
+``depth`` bytes (a window).  Windows are ordered by their own bytes, eight at a
+time from the front; after each digit the windows that are alone in their group
+are dropped, and the groups that are left after the last digit are exactly the
+repeated windows.
+
+Before the digits the windows are dealt to tasks by an anchor: the ``gram`` of a
+window with the least hash in it.  Equal windows have the same anchor at the same
+place, so a group never spans two tasks.  Neighbouring windows with the same
+anchor form a run, and a run travels once, as the bytes under it.  Within a
+bucket the digits go
+
+  over the anchors of the runs (a run whose anchor nobody else has is settled),
+  over the windows of the runs that share an anchor, a few places of the anchor
+  within the window at a time, as windows that differ in it are never equal.
+
+The hash only chooses anchors and buckets; what counts as equal is decided on
+bytes.  A chunk of texts sends equal runs once, with the least doc_id, and a
+bucket keeps equal runs of all chunks once, so a passage that a third of all
+documents share costs an entry a chunk.  The number of buckets grows with the
+text, so that a bucket's size does not.
 
 Cases: a null text counts as empty; texts shorter than ``depth`` lose nothing;
 only a strictly smaller doc_id counts, so rows that repeat a doc_id leave each
@@ -26,8 +30,7 @@ worked on in blocks; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +42,11 @@ from .common import shuffle_partitions, stage, table
 
 DEPTH = 50
 GRAM = 16
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 22
 BLOCK = 1 << 18
+#: Text whose runs a bucket should get, and windows that are sorted at a time.
+BUCKET_BYTES = 1 << 22
+SORTED_WINDOWS = 1 << 21
 NO_ID = -(1 << 63)
 
 _U = np.uint64
@@ -52,18 +58,16 @@ def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _grams(data: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
-    """64-bit hashes of all substrings of each of the ascending ``lengths``, by doubling."""
+def _grams(data: np.ndarray, want: int) -> np.ndarray:
+    """64-bit hashes of all substrings of a length, by doubling."""
     now = (data.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15)
     now ^= now >> _U(32)
-    n, out = 1, []
-    for want in lengths:
-        while n * 2 <= want:
-            now = _join(now[:-n], now[n:])
-            n *= 2
-        shift = want - n
-        out.append(_join(now[: len(now) - shift], now[shift:]) if shift else now)
-    return out
+    n = 1
+    while n * 2 <= want:
+        now = _join(now[:-n], now[n:])
+        n *= 2
+    shift = want - n
+    return _join(now[: len(now) - shift], now[shift:]) if shift else now
 
 
 def _slide_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -76,54 +80,47 @@ def _slide_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Runs:
-    """The runs of a chunk's windows.
-
-    ``windows`` has the hash at each window's start; ``start``, ``count`` and
-    ``doc`` are the runs' first window, number of windows and document; ``low``
-    and ``key`` are their digits: the gram's and the run's bytes' hash.
-    """
+    """The runs of a chunk's windows: first window, number of windows, document, and the anchor's place and hash."""
 
     def __init__(self, data: np.ndarray, lengths: np.ndarray, depth: int, gram: int) -> None:
-        self.windows = np.zeros(len(data), _U)
         ends = np.cumsum(lengths)
-        starts, counts, docs, grams = [], [], [], []
+        starts, counts, docs, places, hashes = [], [], [], [], []
         for at in range(0, len(data) - depth + 1, BLOCK):
-            part = data[at : at + BLOCK + depth - 1]
-            small, whole = _grams(part, (gram, depth))
-            self.windows[at : at + len(whole)] = whole
+            small = _grams(data[at : at + BLOCK + depth - 1], gram)
             packed = (small >> _PLACE_BITS << _PLACE_BITS) | np.arange(len(small), dtype=_U)
-            place = _slide_min(packed, depth - gram + 1) & ((_U(1) << _PLACE_BITS) - _U(1))
-            doc = np.searchsorted(ends, at + np.arange(len(whole)), side="right")
-            inside = np.flatnonzero(at + np.arange(len(whole)) + depth <= ends[doc])
+            place = (_slide_min(packed, depth - gram + 1) & ((_U(1) << _PLACE_BITS) - _U(1))).astype(np.int64)
+            window = at + np.arange(len(place))
+            doc = np.searchsorted(ends, window, side="right")
+            inside = np.flatnonzero(window + depth <= ends[doc])
             if not len(inside):
                 continue
             place, doc = place[inside], doc[inside]
-            first = np.flatnonzero(np.concatenate([[True], (np.diff(place.view(np.int64)) != 0) | (np.diff(doc) != 0) | (np.diff(inside) != 1)]))
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 0) | (np.diff(doc) != 0) | (np.diff(inside) != 1)]))
             starts.append(at + inside[first])
             counts.append(np.diff(np.append(first, len(inside))))
             docs.append(doc[first])
-            grams.append(small[place[first]])
+            places.append(at + place[first])
+            hashes.append(small[place[first]])
         joined = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-        self.start, self.count, self.doc, self.gram = joined(starts, np.int64), joined(counts, np.int64), joined(docs, np.int64), joined(grams, _U)
-        # A run has at most depth windows, so its first and last cover all its bytes.
-        last = self.windows[self.start + self.count - 1] if len(self.start) else self.gram
-        first = self.windows[self.start] if len(self.start) else self.gram
-        self.key = _join(_join(first, last), self.gram + self.count.astype(_U)) >> _U(16)
-
-    def entries(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (bucket, low, key) in order, and the entry of each run."""
-        bucket = ((self.gram >> _U(32)) % _U(buckets)).astype(np.int64)
-        low = (self.gram & _U(0xFFFFFFFF)).astype(np.uint32)
-        order = np.lexsort((self.key, low, bucket))
-        b, g, k = bucket[order], low[order], self.key[order]
-        new = np.concatenate([[True], (np.diff(b) != 0) | (g[1:] != g[:-1]) | (k[1:] != k[:-1])]) if len(b) else np.zeros(0, bool)
+        self.start, self.count, self.doc, self.place, self.gram = joined(starts, np.int64), joined(counts, np.int64), joined(docs, np.int64), joined(places, np.int64), joined(hashes, _U)
+
+    def entries(self, raw: bytes, depth: int, buckets: int) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+        """Bucket, bytes and anchor's place of each distinct run, by bucket; and the entry of every run."""
+        seen: dict[bytes, int] = {}
+        stop = self.start + self.count + (depth - 1)
+        number = np.array([seen.setdefault(raw[i:j], len(seen)) for i, j in zip(self.start.tolist(), stop.tolist(), strict=True)], np.int64)
+        first = np.full(len(seen), len(number))
+        np.minimum.at(first, number, np.arange(len(number)))
+        bucket = ((self.gram[first] >> _U(32)) % _U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
         entry = np.empty(len(order), np.int64)
-        entry[order] = np.cumsum(new) - 1
-        return b[new], g[new], k[new], entry
+        entry[order] = np.arange(len(order))
+        covers = list(seen)
+        return bucket[order], [covers[k] for k in order.tolist()], (self.place - self.start)[first][order], entry[number]
 
 
 def _chunks(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
-    """Texts in ascending doc_id order; equal doc_ids stay in one chunk.  ``rest`` has the carried columns as Arrow data."""
+    """Texts in chunks, as they come.  ``rest`` has the carried columns as Arrow data."""
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory.claim("suffix")
@@ -143,13 +140,13 @@ def _chunks(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
                 with pa.ipc.new_stream(sink, rest[0].schema) as out:
                     for part in rest:
                         out.write_batch(part)
-            columns = [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([tool.compress(b"".join(texts))], pa.binary()), pa.array([tool.compress(sink.getvalue().to_pybytes())], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "lengths", "data", "rest"])
+            columns = [pa.array([number], pa.int64()), pa.array([held], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([tool.compress(b"".join(texts))], pa.binary()), pa.array([tool.compress(sink.getvalue().to_pybytes())], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "n_bytes", "ids", "lengths", "data", "rest"])
 
         for batch in batches:
             others, begun = batch.select(list(range(2, batch.num_columns))), 0
             for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
-                if held >= CHUNK_BYTES and doc_id != ids[-1]:
+                if held >= CHUNK_BYTES:
                     rest.append(others.slice(begun, k - begun))
                     yield close()
                     number, ids, texts, rest, held, begun = number + 1, [], [], [], 0, k
@@ -161,8 +158,7 @@ def _chunks(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
             yield close()
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("text"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
-    rows = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
-    return rows.mapInArrow(chunks, "chunk long, ids array<long>, lengths array<long>, data binary, rest binary")
+    return rows.mapInArrow(chunks, "chunk long, n_bytes long, ids array<long>, lengths array<long>, data binary, rest binary")
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -172,134 +168,157 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         memory.trim()
 
 
-def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _open(row: dict) -> tuple[np.ndarray, np.ndarray, bytes]:
     import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(row["data"])
-    return np.array(row["ids"], np.int64), np.array(row["lengths"], np.int64), np.frombuffer(raw, np.uint8)
+    return np.array(row["ids"], np.int64), np.array(row["lengths"], np.int64), zstandard.ZstdDecompressor().decompress(row["data"])
 
 
-_BLOBS = "bucket int, chunk long, blob binary"
-_ANSWERS = "chunk long, bucket int, flags binary"
+def _least(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, of, values)
+    return least
 
 
-def _blob_rows(chunk: int, bucket: np.ndarray, *parts: np.ndarray) -> pa.RecordBatch | None:
-    """A row for each bucket: the bytes of each part's own stretch."""
-    if not len(bucket):
-        return None
-    names, at = np.unique(bucket, return_index=True)
-    edges = [*at.tolist(), len(bucket)]
-    blobs = [b"".join(p[i:j].tobytes() for p in parts) for i, j in zip(edges, edges[1:])]
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([chunk] * len(names), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "chunk", "blob"])
+def _expand(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``count`` members its owner and its number there."""
+    of = np.repeat(np.arange(len(count)), count)
+    return of, np.arange(len(of)) - (np.cumsum(count) - count)[of]
 
 
-def _answered(blobs: DataFrame, width: int, answer: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Deal each bucket to a task of its own; ``answer`` (entries of ``width`` bytes, rank of their chunk) gives a flag an entry."""
+def _digit(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Up to eight bytes from each place, as a number that orders as they do; ``data`` has eight bytes more than places."""
+    words = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
+    return words[at].astype(_U) >> _U(8 * (8 - width))
 
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory.claim("suffix")
-        by_bucket: dict[int, list[tuple[int, bytes]]] = {}
-        for batch in batches:
-            for bucket, chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                by_bucket.setdefault(bucket, []).append((chunk, blob.as_py()))
-        for bucket in list(by_bucket):
-            rows = sorted(by_bucket.pop(bucket))
-            sizes = [len(blob) // width for _, blob in rows]
-            rank = np.repeat(np.arange(len(rows), dtype=np.int64), sizes)
-            flags = answer([blob for _, blob in rows], rank)
-            edges = np.cumsum([0, *sizes])
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array([flags[i:j].tobytes() for i, j in zip(edges, edges[1:])], pa.binary())], names=["chunk", "bucket", "flags"])
-
-    return blobs.repartitionById(shuffle_partitions(blobs.sparkSession), "bucket").mapInArrow(reduce, _ANSWERS)
-
-
-def _run_answer(blobs: list[bytes], rank: np.ndarray) -> np.ndarray:
-    """Bit 0: an earlier chunk has the same run.  Bit 1: runs with this gram differ."""
-    low, key = [], []
-    for blob in blobs:
-        n = len(blob) // 10
-        low.append(np.frombuffer(blob, np.uint32, n))
-        key.append(np.frombuffer(blob, np.uint32, n, 4 * n).astype(_U) << _U(16) | np.frombuffer(blob, np.uint16, n, 8 * n).astype(_U))
-    g, k = np.concatenate(low), np.concatenate(key)
-    order = np.lexsort((rank, k, g))
-    g, k = g[order], k[order]
-    same_gram = g[1:] == g[:-1]
-    same_run = same_gram & (k[1:] == k[:-1])
-    earlier = np.concatenate([[False], same_run])
-    group = np.concatenate([[0], np.cumsum(~same_gram)])
-    differs = np.zeros(group[-1] + 1, bool)
-    differs[group[1:][same_gram & ~same_run]] = True
-    out = np.empty(len(order), np.uint8)
-    out[order] = earlier.astype(np.uint8) | (differs[group].astype(np.uint8) << 1)
-    return out
-
-
-def _window_answer(blobs: list[bytes], rank: np.ndarray) -> np.ndarray:
-    """1: an earlier chunk has the same window."""
-    w = np.concatenate([np.frombuffer(b, _U) for b in blobs])
-    order = np.lexsort((rank, w))
-    out = np.empty(len(order), np.uint8)
-    out[order] = np.concatenate([[False], w[order][1:] == w[order][:-1]])
-    return out
-
-
-def _expand(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of runs, and the run of each."""
-    of = np.repeat(np.arange(len(start)), count)
-    first = np.cumsum(count) - count
-    return start[of] + np.arange(len(of)) - first[of], of
+
+def _pass(members: np.ndarray, group: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One digit: the members in its order within their groups, the refined groups; without those that are alone."""
+    order = np.lexsort((digit, group))
+    g, d = group[order], digit[order]
+    new = np.ones(len(order) + 1, bool)
+    new[1:-1] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
+    shared = ~(new[:-1] & new[1:])
+    return members[order[shared]], (np.cumsum(new[:-1]) - 1)[shared]
 
 
-def _open_windows(runs: Runs, entry: np.ndarray, flags: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of the runs that differ under their gram and are not settled by an earlier chunk.
+def sort_groups(data: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(members, groups) of the places ``at`` whose ``depth`` bytes and group another one shares.
 
-    Gives their places and documents, the distinct (bucket, hash) in order, and
-    the index of each window among those.
+    Equal numbers in groups mean equal bytes, and members stand in the order of their bytes within a first group.
     """
-    picked = np.flatnonzero(flags[entry] == 2)
-    place, of = _expand(runs.start[picked], runs.count[picked])
-    hashes, index = np.unique(runs.windows[place], return_inverse=True)
-    bucket = ((hashes >> _U(40)) % _U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    where = np.empty(len(order), np.int64)
-    where[order] = np.arange(len(order))
-    return place, runs.doc[picked][of], bucket[order], hashes[order], where[index]
+    members = np.arange(len(at))
+    for begin in range(0, depth, 8):
+        if len(members):
+            members, group = _pass(members, group, _digit(data, at[members] + begin, min(8, depth - begin)))
+    return members, group
+
+
+def _earlier(covers: list[bytes], anchor: np.ndarray, least: np.ndarray, depth: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every window of the distinct runs of a bucket whether a run with a smaller doc_id has it; and where each run's windows begin."""
+    data = np.frombuffer(b"".join(covers) + bytes(8), np.uint8)
+    length = np.array([len(c) for c in covers], np.int64)
+    start = np.cumsum(length) - length
+    count = length - (depth - 1)
+    first = np.cumsum(count) - count
+    hit = np.zeros(int(count.sum()), bool)
+    runs, anchors = sort_groups(data, start + anchor, np.zeros(len(covers), np.int64), gram)
+    if not len(runs):
+        return hit, first
+    # Windows with the anchor at different places are never equal: those places are taken a few at a time.
+    low, high = anchor[runs] - count[runs] + 1, anchor[runs]
+    opens = np.bincount(low - low.min(), minlength=high.max() - low.min() + 2) - np.bincount(high + 1 - low.min(), minlength=high.max() - low.min() + 2)
+    at_place = np.cumsum(opens)
+    begin = 0
+    while begin < len(at_place):
+        end, held = begin + 1, at_place[begin]
+        while end < len(at_place) and held + at_place[end] <= SORTED_WINDOWS:
+            held += at_place[end]
+            end += 1
+        lowest, highest = begin + low.min(), end - 1 + low.min()
+        these = np.flatnonzero((low <= highest) & (high >= lowest))
+        from_, to = np.maximum(low[these], lowest), np.minimum(high[these], highest)
+        of, k = _expand(to - from_ + 1)
+        run, place = runs[these][of], from_[of] + k
+        window = anchor[run] - place  # the window's number in its run
+        members, groups = sort_groups(data, start[run] + window, anchors[these][of] * depth + place, depth)
+        if len(members):
+            own = least[run[members]]
+            hit[first[run[members]] + window[members]] = own > _least(own, groups, int(groups.max()) + 1)[groups]
+        begin = end
+    return hit, first
+
+
+_BLOBS = "bucket int, chunk long, entries int, blob binary"
+_ANSWERS = "chunk long, bucket int, flags binary"
 
 
-def _flags(found: list | None, buckets: np.ndarray) -> np.ndarray:
-    """The answers of a chunk, put in bucket order."""
-    by = {x["bucket"]: x["flags"] for x in found or []}
-    out = np.frombuffer(b"".join(by[b] for b in np.unique(buckets).tolist()), np.uint8)
-    assert len(out) == len(buckets)
-    return out
+def _answered(blobs: DataFrame, depth: int, gram: int) -> DataFrame:
+    """For the entries of each chunk and bucket: 0 (no window is earlier elsewhere), 1 (all are) or 2, and a bit for each window of the last kind."""
 
+    def answer(bucket: int, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        import zstandard
 
-def _least_doc(index: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
-    least = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(least, index, ids)
-    return least
+        seen: dict[bytes, int] = {}
+        tool, packer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        places, docs, numbers = [], [], []
+        for _, n, blob in rows:
+            raw = tool.decompress(blob)
+            places.append(np.frombuffer(raw, np.int32, n, 8 * n))
+            docs.append(np.frombuffer(raw, np.int64, n))
+            edges = (np.cumsum(np.frombuffer(raw, np.int32, n, 12 * n)) + 16 * n).tolist()
+            numbers.append(np.array([seen.setdefault(raw[i:j], len(seen)) for i, j in zip([16 * n, *edges], edges)], np.int64))
+        number, doc = np.concatenate(numbers), np.concatenate(docs)
+        anchor = np.zeros(len(seen), np.int64)
+        anchor[number] = np.concatenate(places)
+        least = _least(doc, number, len(seen))
+        hit, first = _earlier(list(seen), anchor, least, depth, gram)
+        some = np.logical_or.reduceat(hit, first) if len(hit) else np.zeros(0, bool)
+        count = np.diff(np.append(first, len(hit)))
+        kind = np.where(doc > least[number], 1, np.where(some[number], 2, 0)).astype(np.uint8)
+        flags, at = [], 0
+        for _, n, _ in rows:
+            mine, own = kind[at : at + n], number[at : at + n]
+            mixed = own[mine == 2]
+            of, k = _expand(count[mixed])
+            flags.append(packer.compress(mine.tobytes() + np.packbits(hit[first[mixed][of] + k]).tobytes()))
+            at += n
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array(flags, pa.binary())], names=["chunk", "bucket", "flags"])
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.claim("suffix")
+        now, rows = None, []
+        for batch in batches:
+            for bucket, chunk, n, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                if bucket != now and rows:
+                    yield answer(now, rows)
+                    rows = []
+                    memory.trim()
+                now = bucket
+                rows.append((chunk, n, blob.as_py()))
+        if rows:
+            yield answer(now, rows)
 
+    return blobs.repartition(shuffle_partitions(blobs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, _ANSWERS)
 
-def _covered(runs: Runs, ids: np.ndarray, n_bytes: int, entry: np.ndarray, flags: np.ndarray, windows: tuple, late: np.ndarray, depth: int) -> np.ndarray:
-    """Which bytes of a chunk lie under a window that a smaller doc_id has."""
-    own = ids[runs.doc]
-    n_entries = len(flags)
-    gone = ((flags[entry] & 1) == 1) | (own > _least_doc(entry, own, n_entries)[entry])
-    edge = np.zeros(n_bytes + 1, np.int32)
-    np.add.at(edge, runs.start[gone], 1)
-    np.add.at(edge, runs.start[gone] + runs.count[gone] + depth - 1, -1)
-    place, doc, _, hashes, index = windows
-    own = ids[doc]
-    hit = (late[index] == 1) | (own > _least_doc(index, own, len(hashes))[index])
-    np.add.at(edge, place[hit], 1)
-    np.add.at(edge, place[hit] + depth, -1)
-    return np.cumsum(edge[:-1]) > 0
 
+def _covered(runs: Runs, entry: np.ndarray, own: np.ndarray, kinds: np.ndarray, bits: np.ndarray, n_bytes: int, depth: int) -> np.ndarray:
+    """Which bytes of a chunk lie under a window that a smaller doc_id has.
 
-def _release(spark: SparkSession) -> None:
-    """Spark drops shuffle files when the driver's JVM collects their handles; long runs ask for that between passes."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    ``kinds`` and ``bits`` are the answers to the entries; ``own`` is the doc_id of each run.
+    """
+    count = np.zeros(len(kinds), np.int64)
+    count[entry] = runs.count
+    mixed = np.where(kinds == 2, count, 0)
+    first = np.cumsum(mixed) - mixed
+    kind = np.where(own > _least(own, entry, len(kinds))[entry], 1, kinds[entry])
+    gone = kind == 1
+    some = np.flatnonzero(kind == 2)
+    of, k = _expand(runs.count[some])
+    place = (runs.start[some][of] + k)[bits[first[entry[some]][of] + k] == 1]
+    begins = np.concatenate([runs.start[gone], place])
+    ends = np.concatenate([(runs.start + runs.count)[gone] + (depth - 1), place + depth])
+    return np.cumsum(np.bincount(begins, minlength=n_bytes + 1) - np.bincount(ends, minlength=n_bytes + 1))[:-1] > 0
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary"
@@ -308,60 +327,67 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:l
 def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, carry: Sequence[str] = (), as_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, the removed spans, the bytes that are kept (``as_text``: whole characters of UTF-8), and the columns to carry along as carry_0, carry_1, ..."""
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
     chunks = stage(_chunks(docs, carry), "suffix-chunks")
-    _release(spark)
+    n_bytes = chunks.agg(F.sum("n_bytes")).first()[0] or 0
+    buckets = max(shuffle_partitions(spark), -(-n_bytes // BUCKET_BYTES))
 
-    def send_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory.claim("suffix")
-        for batch in batches:
-            for row in _rows(batch):
-                _, lengths, data = _open(row)
-                b, g, k, _ = Runs(data, lengths, depth, gram).entries(buckets)
-                if (out := _blob_rows(row["chunk"], b, g, (k >> _U(16)).astype(np.uint32), (k & _U(0xFFFF)).astype(np.uint16))) is not None:
-                    yield out
-
-    per_chunk = lambda answers, name: answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "flags")).alias(name))
-    run_flags = stage(_answered(chunks.drop("rest").mapInArrow(send_runs, _BLOBS), 10, _run_answer), "suffix-runs")
-    _release(spark)
+        import zstandard
 
-    def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory.claim("suffix")
+        tool = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for row in _rows(batch):
-                _, lengths, data = _open(row)
-                runs = Runs(data, lengths, depth, gram)
-                b, _, _, entry = runs.entries(buckets)
-                _, _, wb, hashes, _ = _open_windows(runs, entry, _flags(row["runs"], b), buckets)
-                if (out := _blob_rows(row["chunk"], wb, hashes)) is not None:
-                    yield out
-
-    known = chunks.drop("rest").join(per_chunk(run_flags, "runs"), "chunk", "left")
-    window_flags = stage(_answered(known.mapInArrow(send_windows, _BLOBS), 8, _window_answer), "suffix-windows")
-    _release(spark)
+                ids, lengths, raw = _open(row)
+                runs = Runs(np.frombuffer(raw, np.uint8), lengths, depth, gram)
+                bucket, covers, anchor, entry = runs.entries(raw, depth, buckets)
+                least = _least(ids[runs.doc], entry, len(covers))
+                sizes = np.array([len(c) for c in covers], np.int32)
+                names, at = np.unique(bucket, return_index=True)
+                edges = [*at.tolist(), len(bucket)]
+                blobs = [tool.compress(b"".join([least[i:j].tobytes(), anchor[i:j].astype(np.int32).tobytes(), sizes[i:j].tobytes(), *covers[i:j]])) for i, j in zip(edges, edges[1:])]
+                if blobs:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([row["chunk"]] * len(names), pa.int64()), pa.array(np.diff(edges), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "chunk", "entries", "blob"])
+
+    flags = stage(_answered(chunks.select("chunk", "ids", "lengths", "data").mapInArrow(send, _BLOBS), depth, gram), "suffix-flags")
 
     carried = [f"carry_{k}" for k in range(len(carry))]
     schema = ", ".join([_RESULT, *[f"{name} {docs.schema[c].dataType.simpleString()}" for name, c in zip(carried, carry, strict=True)]])
 
+    def gone_of(row: dict, ids: np.ndarray, lengths: np.ndarray, raw: bytes) -> np.ndarray:
+        import zstandard
+
+        runs = Runs(np.frombuffer(raw, np.uint8), lengths, depth, gram)
+        bucket, _, _, entry = runs.entries(raw, depth, buckets)
+        tool, kinds, bits = zstandard.ZstdDecompressor(), [], []
+        answers = {x["bucket"]: x["flags"] for x in row["found"] or []}
+        names, at = np.unique(bucket, return_index=True)
+        counts = np.zeros(len(bucket), np.int64)
+        counts[entry] = runs.count
+        edges = [*at.tolist(), len(bucket)]
+        for name, i, j in zip(names.tolist(), edges, edges[1:]):
+            found = np.frombuffer(tool.decompress(answers[name]), np.uint8)
+            kinds.append(found[: j - i])
+            bits.append(np.unpackbits(found[j - i :], count=int(counts[i:j][kinds[-1] == 2].sum())))
+        joined = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+        return _covered(runs, entry, ids[runs.doc], joined(kinds), joined(bits), len(raw), depth)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory.claim("suffix")
         import zstandard
 
         for batch in batches:
             for row in _rows(batch):
-                ids, lengths, data = _open(row)
-                runs = Runs(data, lengths, depth, gram)
-                b, _, _, entry = runs.entries(buckets)
-                flags = _flags(row["runs"], b)
-                windows = _open_windows(runs, entry, flags, buckets)
-                gone = _covered(runs, ids, len(data), entry, flags, windows, _flags(row["windows"], windows[2]), depth)
+                ids, lengths, raw = _open(row)
+                gone = gone_of(row, ids, lengths, raw)
+                data = np.frombuffer(raw, np.uint8)
                 out: list[tuple] = []
                 at = 0
                 for doc_id, n in zip(ids.tolist(), lengths.tolist(), strict=True):
                     mine = gone[at : at + n]
                     turns = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]]).astype(np.int8)))
                     spans = [{"start": i, "stop": j} for i, j in turns.reshape(-1, 2).tolist()]
-                    kept = data[at : at + n][~mine].tobytes()
+                    kept = data[at : at + n][~mine].tobytes() if spans else raw[at : at + n]
                     if as_text:
                         # A character that was cut through goes whole.
                         kept = kept.decode("utf-8", "ignore").encode()
@@ -376,8 +402,8 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, carry:
                         made = made.append_column(field, pa.concat_arrays(column.chunks))
                 yield made
 
-    known = (chunks if carry else chunks.drop("rest")).join(per_chunk(run_flags, "runs"), "chunk", "left").join(per_chunk(window_flags, "windows"), "chunk", "left")
-    return known.mapInArrow(cut, schema)
+    answers = flags.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "flags")).alias("found"))
+    return (chunks if carry else chunks.drop("rest")).join(answers, "chunk", "left").mapInArrow(cut, schema)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,6 +158,8 @@ def test_repeats_of_awkward_documents(spark):
 @pytest.mark.parametrize(("depth", "gram"), [(12, 4), (5, 5), (7, 1)])
 def test_repeats_of_periodic_and_random_texts(spark, depth, gram, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 200)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 100)
+    monkeypatch.setattr(suffix_dedup, "SORTED_WINDOWS", 30)
     draw = random.Random(depth)
     rows = [(draw.randint(0, 25), "".join(draw.choice("ab") for _ in range(draw.randint(0, 80)))) for _ in range(25)]
     rows += [(100, "ab" * 60), (101, "b" + "ab" * 40), (102, "é" * 50), (103, "xé" + "é" * 30)]
@@ -170,6 +172,41 @@ def test_blocks_make_no_difference(monkeypatch):
     one = suffix_dedup.Runs(text, lengths, 50, 16)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 128)
     two = suffix_dedup.Runs(text, lengths, 50, 16)
-    windows = lambda r: sorted((s + k, d) for s, n, d in zip(r.start, r.count, r.doc) for k in range(n))
+    windows = lambda r: sorted((s + k, d, p) for s, n, d, p in zip(r.start, r.count, r.doc, r.place) for k in range(n))
     assert windows(one) == windows(two)
-    assert (one.windows == two.windows).all()
+
+
+@pytest.mark.parametrize("depth", [1, 8, 11, 50])
+def test_groups_of_the_radix_sort_are_the_equal_windows(depth):
+    draw = random.Random(depth)
+    raw = bytes(draw.choice(b"ab\0\xff") for _ in range(400)) * 2
+    at = np.array(draw.sample(range(len(raw) - depth), 300))
+    group = np.array([draw.randrange(2) for _ in at])
+    members, groups = suffix_dedup.sort_groups(np.frombuffer(raw + bytes(8), np.uint8), at, group, depth)
+    want = defaultdict(set)
+    for k, (a, g) in enumerate(zip(at.tolist(), group.tolist())):
+        want[g, raw[a : a + depth]].add(k)
+    got = defaultdict(set)
+    for m, g in zip(members.tolist(), groups.tolist()):
+        got[g].add(m)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+    keys = [(int(group[m]), raw[at[m] : at[m] + depth]) for m in members]
+    assert keys == sorted(keys)
+
+
+def test_places_of_the_anchor_are_sorted_in_slices(monkeypatch):
+    draw = random.Random(6)
+    raw = "".join(draw.choice("ab") for _ in range(3000)).encode()
+    runs = suffix_dedup.Runs(np.frombuffer(raw, np.uint8), np.array([1000, 2000]), 12, 4)
+    _, covers, anchor, entry = runs.entries(raw, 12, 1)
+    least = np.arange(len(covers)) % 7
+    one = suffix_dedup._earlier(covers, anchor, least, 12, 4)
+    monkeypatch.setattr(suffix_dedup, "SORTED_WINDOWS", 20)
+    two = suffix_dedup._earlier(covers, anchor, least, 12, 4)
+    assert (one[0] == two[0]).all() and one[0].any()
+    seen = {}
+    for c, d in zip(covers, least.tolist()):
+        for k in range(len(c) - 11):
+            seen[c[k : k + 12]] = min(d, seen.get(c[k : k + 12], 99))
+    want = [seen[c[k : k + 12]] < d for c, d in zip(covers, least.tolist()) for k in range(len(c) - 11)]
+    assert one[0].tolist() == want
