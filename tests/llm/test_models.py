@@ -1,3 +1,5 @@
+import functools
+import itertools
 import random
 import struct
 import zlib
@@ -6,6 +8,8 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from ledgerline.llm import pieces, quality
 
@@ -45,18 +49,23 @@ def models():
     return pieces.PieceModel(MODEL), pieces.PieceModel(proto=unigram_proto())
 
 
-def by_scan(model, text, size):
-    chunks = list(model.chunks(model.lattice_text(text), size)) if text else []
+def by_scan(model, text, size, block=3):
+    chunks = list(model.chunks(model.marked(text), size)) if text else []
     if not chunks:
         return []
-    states = pieces.states_at_cuts([model.transfer(s, c) for s, c, _ in chunks])
-    return [i for (s, c, _), a, b in zip(chunks, states, states[1:]) for i in model.trace(s, c, a, b)]
+    matrices = [model.transfer(*c) for c in chunks]
+    cuts = range(0, len(chunks), block)
+    ends = pieces.states_between([functools.reduce(pieces.combine, matrices[k : k + block]) for k in cuts])
+    states = [0] + [s for k, a, b in zip(cuts, ends, ends[1:]) for s in pieces.states_between(matrices[k : k + block], a, b)[1:]]
+    stretches = [model.between(*c, a, b) for c, a, b in zip(chunks, states, states[1:])]
+    assert "".join(stretches) == model.marked(text)
+    return [i for c, a, b in zip(chunks, states, states[1:]) for i in model.trace(*c, a, b)]
 
 
-ODD = ["", " ", "   a  b\n\n", "日本語テキスト の" * 20, "a" * 300, "x\x00y\U0001f600é" * 20, "aaaa bbbb" * 30, "<s> a</s>", prose(8, 150)]
+ODD = ["", " ", "   a  b\n\n", "日本語テキスト の" * 20, "a" * 300, "x\x00y\U0001f600é" * 20, "aaaa bbbb" * 30, "<s> a</s>", "\nabc", "\n\n x", "internationalization" * 9, prose(8, 150)]
 
 
-@pytest.mark.parametrize("size", [7, 64, 1000])
+@pytest.mark.parametrize("size", [3, 7, 64, 1000])
 @pytest.mark.parametrize("text", ODD)
 def test_scans_equal_the_library(models, text, size):
     bpe, unigram = models
@@ -68,13 +77,49 @@ def test_scans_equal_the_library(models, text, size):
     assert got == want or score(got) == pytest.approx(score(want), abs=1e-3)
 
 
-def test_products_are_associative(models):
-    unigram = models[1]
-    a, b, c = (unigram.transfer(s, n) for s, n, _ in unigram.chunks(unigram.lattice_text(prose(9, 20)[:96]), 33))
+def test_short_texts_of_blanks_and_letters(models):
+    bpe = models[0]
+    for n in range(5):
+        for chars in itertools.product(" \n\ta▁é", repeat=n):
+            text = "".join(chars)
+            ids = bpe.library.encode(text)
+            assert np.frombuffer(bpe.encode(text), "<i4").tolist() == ids
+            assert by_scan(bpe, text, 2) == ids
+
+
+_FUZZ = st.text(alphabet=st.one_of(st.sampled_from(" \n\t.,'aeinrstAB▁é1"), st.characters(codec="utf-8")), max_size=60)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(_FUZZ, st.lists(st.sampled_from(["in", "ter", "nation", "al", "s", " ", "\n", "aa", "é", "the"]), max_size=30).map("".join)), st.sampled_from([3, 8, 64]))
+def test_any_text_by_all_ways(models, text, size):
+    bpe = models[0]
+    ids = bpe.library.encode(text)
+    assert np.frombuffer(bpe.encode(text), "<i4").tolist() == ids
+    assert by_scan(bpe, text, size) == ids
+
+
+def test_states_are_those_of_the_pieces_around_a_cut(models):
+    bpe = models[0]
+    text = bpe.marked("internationalization of the internet")
+    chunks = list(bpe.chunks(text, 8))
+    assert all(min(bpe.transfer(*c).shape) > 1 for c in chunks[1:-1])
+
+
+@pytest.mark.parametrize("kind", [0, 1])
+def test_products_are_associative(models, kind):
+    model = models[kind]
+    a, b, c = (model.transfer(*x) for x in model.chunks(model.marked(prose(9, 20)[:96]), 33))
     left = pieces.combine(pieces.combine(a, b), c)
     assert np.allclose(np.nan_to_num(left, neginf=-1e9), np.nan_to_num(pieces.combine(a, pieces.combine(b, c)), neginf=-1e9))
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.binary(max_size=300), st.binary(max_size=300))
+def test_crc32_of_joined_strings(a, b):
+    assert pieces.joined_crc32(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
 @pytest.mark.parametrize("text", [*ODD, "▁x y", " lead", "trail ", "a \nb", "one\ntwo three.\n"])
 def test_words_and_decoding(models, text):
     bpe = models[0]
@@ -85,12 +130,13 @@ def test_words_and_decoding(models, text):
 
 
 @pytest.mark.parametrize("size", [100, 1 << 15])
-def test_documents(spark, size):
+def test_documents(spark, size, monkeypatch):
+    monkeypatch.setattr(pieces, "BLOCK_CHUNKS", 5)
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     want = []
     for d, t in texts():
         ids = np.array(library.encode(t or ""), "<i4")
-        want.append((d or -1, len(t or ""), len(ids), zlib.crc32(ids.tobytes()), True))
+        want.append((d or -1, len(t or ""), len(ids), zlib.crc32(ids.tobytes()), "▁" not in (t or "")))
     got = [(r["doc_id"] or -1, *r[1:]) for r in pieces.encode_digests(documents(spark), MODEL, size).collect()]
     assert sorted(got) == sorted(want)
     assert pieces.encode_digests(empty(spark), MODEL, size).count() == 0
