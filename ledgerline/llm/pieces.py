@@ -372,19 +372,19 @@ def _whole_rows(docs: DataFrame) -> DataFrame:
 
 
 def _split(docs: DataFrame, model_path: str, chunk_chars: int) -> tuple[DataFrame, DataFrame | None]:
-    """Texts to encode whole, and the parts of the giant ones."""
+    """Texts to encode whole, and the chunks of the giant ones with their states."""
     rows = _whole_rows(docs)
     if not model_of(model_path).cuts:
         return rows, None
     giant = F.char_length("text") > chunk_chars
-    return rows.where(~giant), _giant_parts(rows.where(giant), model_path, chunk_chars)
+    return rows.where(~giant), _chunks_with_states(rows.where(giant), model_path, chunk_chars)
 
 
 def encode_pieces(docs: DataFrame, model_path: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """doc_id, row, part, ids, text: a part has the ids of a stretch of the text, in order within a row."""
     rows, giants = _split(docs, model_path, chunk_chars)
     whole = rows.mapInArrow(_encoded(model_path), _ENCODED)
-    return whole if giants is None else whole.unionByName(giants)
+    return whole if giants is None else whole.unionByName(giants.mapInArrow(_traced(model_path), _ENCODED))
 
 
 def _matrix_of(rows: int, blob: bytes) -> np.ndarray:
@@ -418,7 +418,7 @@ _BLOCK = "row long, block int, states int, matrix binary"
 _STATES = "row long, part int, enter int, leave int"
 
 
-def _giant_parts(rows: DataFrame, model_path: str, chunk_chars: int) -> DataFrame:
+def _chunks_with_states(rows: DataFrame, model_path: str, chunk_chars: int) -> DataFrame:
     n_tasks = shuffle_partitions(rows.sparkSession)
 
     def cut(batches: Batches) -> Batches:
@@ -453,7 +453,17 @@ def _giant_parts(rows: DataFrame, model_path: str, chunk_chars: int) -> DataFram
             states = states_between([_matrix_of(x["states"], x["matrix"]) for x in found], found[0]["from_state"], found[0]["to_state"])
             yield _batch(_STATES, [(row, x["part"], a, b) for x, a, b in zip(found, states, states[1:])])
 
-    def traced(batches: Batches) -> Batches:
+    chunks = stage(rows.mapInArrow(cut, _CHUNK), "piece-chunks")
+    found = stage(chunks.select("row", "block", "part", "before", "cut", "stretch").mapInArrow(matrices, _MATRIX), "piece-matrices")
+    blocks = found.repartition(n_tasks, "row", "block").sortWithinPartitions("row", "block", "part").select("row", "block", "states", "matrix").mapInArrow(products, _BLOCK)
+    ends = blocks.repartition(n_tasks, "row").sortWithinPartitions("row", "block").mapInArrow(scan, "row long, block int, from_state int, to_state int")
+    known = found.join(ends, ["row", "block"]).repartition(n_tasks, "row", "block").sortWithinPartitions("row", "block", "part")
+    states = known.mapInArrow(inside, _STATES)
+    return chunks.join(states, ["row", "part"])
+
+
+def _traced(model_path: str) -> Callable[[Batches], Batches]:
+    def trace(batches: Batches) -> Batches:
         model = model_of(model_path)
         for batch in batches:
             for k in range(batch.num_rows):
@@ -462,13 +472,7 @@ def _giant_parts(rows: DataFrame, model_path: str, chunk_chars: int) -> DataFram
                 text = model.between(*at)
                 yield _batch(_ENCODED, [(x["doc_id"], x["row"], x["part"], model.trace(*at), text[1:] if x["part"] == 0 and model.prefix else text)])
 
-    chunks = stage(rows.mapInArrow(cut, _CHUNK), "piece-chunks")
-    found = stage(chunks.select("row", "block", "part", "before", "cut", "stretch").mapInArrow(matrices, _MATRIX), "piece-matrices")
-    blocks = found.repartition(n_tasks, "row", "block").sortWithinPartitions("row", "block", "part").select("row", "block", "states", "matrix").mapInArrow(products, _BLOCK)
-    ends = blocks.repartition(n_tasks, "row").sortWithinPartitions("row", "block").mapInArrow(scan, "row long, block int, from_state int, to_state int")
-    known = found.join(ends, ["row", "block"]).repartition(n_tasks, "row", "block").sortWithinPartitions("row", "block", "part")
-    states = known.mapInArrow(inside, _STATES)
-    return chunks.join(states, ["row", "part"]).mapInArrow(traced, _ENCODED)
+    return trace
 
 
 def _decoded(model_path: str) -> Callable[[Batches], Batches]:
@@ -544,7 +548,8 @@ def encode_digests(docs: DataFrame, model_path: str, chunk_chars: int = CHUNK_CH
     out = rows.mapInArrow(lambda batches: _digested(decode(encode(batches))), _PART).drop("row", "part")
     if giants is None:
         return out
-    parts = giants.mapInArrow(lambda batches: _digested(decode(batches)), _PART).select("row", "part", "doc_id", "n_chars", "n_pieces", "ids_crc32", "round_trip")
+    trace = _traced(model_path)
+    parts = giants.mapInArrow(lambda batches: _digested(decode(trace(batches))), _PART).select("row", "part", "doc_id", "n_chars", "n_pieces", "ids_crc32", "round_trip")
     ordered = parts.repartition(shuffle_partitions(docs.sparkSession), "row").sortWithinPartitions("row", "part")
     return out.unionByName(ordered.mapInArrow(_whole_digests, _DIGEST))
 
