@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import AMOUNT, MONEY
+from ..schemas import AMOUNT, CENTS, NARROW
 
 ColumnOrName = Column | str
 
@@ -122,21 +122,33 @@ def similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
 
 
 def cents(c: ColumnOrName) -> Column:
-    return _col(c).cast(MONEY)
+    """At cent precision; null if that has too many digits."""
+    return _col(c).try_cast(CENTS)
 
 
 def money_equal(a: ColumnOrName, b: ColumnOrName) -> Column:
-    """Equal at cent precision."""
+    """Equal at cent precision; null if a side is null or too large."""
     return cents(a) == cents(b)
 
 
+def plus(a: ColumnOrName, b: ColumnOrName) -> Column:
+    """A sum; null if it has too many digits."""
+    return F.try_add(a, b)
+
+
+def product_cents(a: ColumnOrName, b: ColumnOrName) -> Column:
+    """A product at cent precision: exact for factors below 10^14, else of six decimals; null if it has too many digits."""
+    a, b = _col(a), _col(b)
+    return F.coalesce(cents(a.try_cast(NARROW) * b.try_cast(NARROW)), cents(F.try_multiply(a.cast(AMOUNT), b.cast(AMOUNT))))
+
+
 def urdu_digits(c: ColumnOrName) -> Column:
     return F.translate(_col(c), "0123456789", _DIGITS[:10])
 
 
 def grouped(c: ColumnOrName) -> Column:
     """An amount as it is printed: thousands separated, cents only if there are any."""
-    return let(cents(c), lambda v: F.call_function("format_number", v, F.when(v == F.floor(v), 0).otherwise(2)))
+    return let(cents(c), lambda v: F.call_function("format_number", v, F.when(F.endswith(v.cast("string"), F.lit(".00")), 0).otherwise(2)))
 
 
 def shown(c: ColumnOrName) -> Column:

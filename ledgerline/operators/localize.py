@@ -11,10 +11,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import MONEY, alternates
+from ..schemas import CENTS, alternates
 
 MOST_HINTS = 3
-HINT_TYPE = "struct<key:string,old:decimal(18,2),new:decimal(18,2)>"
+HINT_TYPE = "struct<key:string,old:decimal(38,2),new:decimal(38,2)>"
 
 
 def _alternates() -> Column:
@@ -24,14 +24,14 @@ def _alternates() -> Column:
 
 def hints_for(key: Column, value: Column, holds: Callable[[Column], Column]) -> Column:
     """For each digit of the value, left to right, the first alternate that satisfies ``holds``."""
-    printed = value.cast(MONEY).cast("string")
+    printed = value.cast(CENTS).cast("string")
     places = F.when(value.isNotNull(), F.sequence(F.lit(1), F.char_length(printed))).otherwise(F.array().cast("array<int>"))
 
     def at(place: Column) -> Column:
         others = F.coalesce(F.element_at(_alternates(), F.substring(printed, place, F.lit(1))), F.array().cast("array<string>"))
-        changed = F.transform(others, lambda d: F.concat(F.substring(printed, F.lit(1), place - 1), d, F.substring(printed, place + 1, F.char_length(printed))).cast(MONEY))
+        changed = F.transform(others, lambda d: F.concat(F.substring(printed, F.lit(1), place - 1), d, F.substring(printed, place + 1, F.char_length(printed))).cast(CENTS))
         fit = F.get(F.filter(changed, lambda v: (v != value) & holds(v)), F.lit(0))
-        return F.when(fit.isNotNull(), F.struct(key.alias("key"), value.cast(MONEY).alias("old"), fit.alias("new")))
+        return F.when(fit.isNotNull(), F.struct(key.alias("key"), value.cast(CENTS).alias("old"), fit.alias("new")))
 
     return F.filter(F.transform(places, at), lambda x: x.isNotNull())
 

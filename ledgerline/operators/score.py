@@ -26,10 +26,10 @@ def eval_rows(verified: DataFrame, truth: DataFrame, meta: DataFrame, key: str =
     items = lambda c: F.coalesce(F.size(F.col(c)["line_items"]), F.lit(0))
     acc = [value_correct(f, F.col("merged")[f], F.col("gt")[f]).alias(f) for f in SCALARS]
     joined = joined.withColumn("acc", F.struct(*acc, (items("merged") == items("gt")).alias("line_items_count")))
-    of = lambda f: F.get(F.filter("verdicts", lambda v: v["field"] == f), F.lit(0))["status"]
+    of = lambda f: F.get(F.filter("scalar_verdicts", lambda v: v["field"] == f), F.lit(0))["status"]
     status = {f: of(f) for f in SCALARS}
     fields = F.struct(*[F.struct(F.coalesce(status[f], F.lit("missing")).alias("status"), F.col(f"acc.{f}").alias("correct"), F.col("merged")[f].cast("string").alias("value")).alias(f) for f in SCALARS])
-    return joined.select(*own, "mode", "printed_total", F.col("gt.total").alias("gt_total"), "acc", fields.alias("fields"), overall_worst(F.col("verdicts"), REPORT_FIELDS).alias("overall_worst"))
+    return joined.select(*own, "mode", "printed_total", F.col("gt.total").alias("gt_total"), "acc", fields.alias("fields"), overall_worst(F.col("scalar_verdicts"), REPORT_FIELDS).alias("overall_worst"))
 
 
 def metrics(rows: DataFrame, by: tuple[str, ...] = ("setup",)) -> DataFrame:

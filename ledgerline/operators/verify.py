@@ -12,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cents, money_equal, parse_date, similarity
-from ..schemas import BASE_CONFIDENCE, CERTAIN_RED_CONFIDENCE, LINE_ITEM, NO_TAX_CONFIDENCE, NUMERIC, PARTS, REQUIRED, SCALARS, STATUSES
+from ..functions.text import cents, money_equal, parse_date, plus, product_cents, similarity
+from ..schemas import AMOUNT, BASE_CONFIDENCE, CERTAIN_RED_CONFIDENCE, LINE_ITEM, NO_TAX_CONFIDENCE, NUMERIC, PARTS, REQUIRED, SCALARS, STATUSES
 from .localize import HINT_TYPE, culprit, first_hints, hints_for
 
 VERDICT_COLUMNS = ["field", "field_ord", "idx", "part", "value_text", "value_number", "status", "rank", "confidence", "reasons", "hints"]
@@ -125,9 +125,15 @@ def format_checks(f: str, m: Column) -> list[Check]:
     return [Check(v < 0, 2, f"NEGATIVE {f}", CERTAIN_RED_CONFIDENCE)]
 
 
-def _broken_product(x: Column) -> Column:
+def _equal(a: Column, b: Column) -> Column:
+    """Equal at cent precision; a side that is null or too large is equal to nothing."""
+    return F.coalesce(money_equal(a, b), F.lit(False))
+
+
+def broken_product(x: Column) -> Column:
+    """All three parts are there, and quantity times price is not the total."""
     q, p, t = x["quantity"], x["unit_price"], x["line_total"]
-    return F.coalesce(~money_equal(q * p, t), F.lit(False))
+    return q.isNotNull() & p.isNotNull() & t.isNotNull() & ~_equal(product_cents(q, p), t)
 
 
 def product_hints(items: Column) -> Column:
@@ -137,12 +143,12 @@ def product_hints(items: Column) -> Column:
         q, p, t = x["quantity"], x["unit_price"], x["line_total"]
         hints = first_hints(
             [
-                hints_for(_part_key(i, "quantity"), q, lambda v: money_equal(v * p, t)),
-                hints_for(_part_key(i, "unit_price"), p, lambda v: money_equal(q * v, t)),
-                hints_for(_part_key(i, "line_total"), t, lambda v: money_equal(q * p, v)),
+                hints_for(_part_key(i, "quantity"), q, lambda v: money_equal(product_cents(v, p), t)),
+                hints_for(_part_key(i, "unit_price"), p, lambda v: money_equal(product_cents(q, v), t)),
+                hints_for(_part_key(i, "line_total"), t, lambda v: money_equal(product_cents(q, p), v)),
             ]
         )
-        return F.when(_broken_product(x), hints)
+        return F.when(broken_product(x), hints)
 
     return F.transform(items, at)
 
@@ -157,14 +163,14 @@ def product_checks(part: str, x: Column, i: Column, hints: Column) -> list[Check
 def row_sum(items: Column) -> Column:
     """Sum of the row totals that are there; null if none is."""
     totals = F.filter(F.transform(items, lambda x: x["line_total"]), lambda t: t.isNotNull())
-    return F.when(F.size(totals) > 0, F.aggregate(totals, F.lit(0).cast("decimal(18,4)"), lambda s, t: (s + t).cast("decimal(18,4)")))
+    return F.when(F.size(totals) > 0, F.aggregate(totals, F.lit(0).cast(AMOUNT), plus))
 
 
 def sum_hints(m: Column, total: Column) -> Column:
     """The repairs of sum of row totals = subtotal; null where it holds or can't be checked."""
     subtotal = m["subtotal"]
-    per_row = F.flatten(F.transform(m["line_items"], lambda x, i: hints_for(_part_key(i, "line_total"), x["line_total"], lambda v: money_equal(total - x["line_total"] + v, subtotal))))
-    return F.when(~money_equal(total, subtotal), first_hints([per_row, hints_for(F.lit("subtotal"), subtotal, lambda v: money_equal(total, v))]))
+    per_row = F.flatten(F.transform(m["line_items"], lambda x, i: hints_for(_part_key(i, "line_total"), x["line_total"], lambda v: money_equal(plus(F.try_subtract(total, x["line_total"]), v), subtotal))))
+    return F.when(total.isNotNull() & subtotal.isNotNull() & ~_equal(total, subtotal), first_hints([per_row, hints_for(F.lit("subtotal"), subtotal, lambda v: money_equal(total, v))]))
 
 
 def total_hints(m: Column, include_tax: bool = False) -> Column:
@@ -173,10 +179,10 @@ def total_hints(m: Column, include_tax: bool = False) -> Column:
     The repair search leaves the tax out, as the reference semantics do;
     ``include_tax`` puts it in.
     """
-    subtotal, total, tax = m["subtotal"], m["total"], F.coalesce(m["tax"], F.lit(0).cast("decimal(18,4)"))
-    added = tax if include_tax else F.lit(0).cast("decimal(18,4)")
-    hints = first_hints([hints_for(F.lit("subtotal"), subtotal, lambda v: money_equal(v + added, total)), hints_for(F.lit("total"), total, lambda v: money_equal(subtotal + added, v))])
-    return F.when(~money_equal(subtotal + tax, total), hints)
+    subtotal, total, tax = m["subtotal"], m["total"], F.coalesce(m["tax"], F.lit(0).cast(AMOUNT))
+    added = tax if include_tax else F.lit(0).cast(AMOUNT)
+    hints = first_hints([hints_for(F.lit("subtotal"), subtotal, lambda v: money_equal(plus(v, added), total)), hints_for(F.lit("total"), total, lambda v: money_equal(plus(subtotal, added), v))])
+    return F.when(subtotal.isNotNull() & total.isNotNull() & ~_equal(plus(subtotal, tax), total), hints)
 
 
 _SUM_REASON = "SUM_ARITHMETIC: row totals differ from subtotal"
@@ -190,13 +196,15 @@ def subtotal_checks(m: Column, rows: Column, sums: Column, totals: Column) -> li
 
 def total_checks(m: Column, rows: Column, totals: Column) -> list[Check]:
     """Subtotal and tax add up to the total; without a subtotal, rows and tax do."""
-    tax = F.coalesce(m["tax"], F.lit(0).cast("decimal(18,4)"))
-    loose = m["total"].isNotNull() & m["subtotal"].isNull() & rows.isNotNull() & ~money_equal(rows + tax, m["total"])
+    tax = F.coalesce(m["tax"], F.lit(0).cast(AMOUNT))
+    loose = m["total"].isNotNull() & m["subtotal"].isNull() & rows.isNotNull() & ~_equal(plus(rows, tax), m["total"])
     return [*_violation(totals.isNotNull(), "total", _TOTAL_REASON, totals), Check(loose, 1, "TOTAL_UNSUPPORTED: rows + tax differ from total")]
 
 
 def verify(pairs: DataFrame, key: str = "invoice_id", include_tax: bool = False, compare_to_a: bool = False) -> DataFrame:
-    """``merged`` and ``verdicts`` (an ordered array) for each pair of readings a, b (b null: one engine).
+    """``merged``, ``verdicts`` (an ordered array) and ``scalar_verdicts`` (its first part) for each pair of readings a, b (b null: one engine).
+
+    A plan that only takes ``scalar_verdicts`` never builds the rows'.
 
     When B has more rows, B's rows are the merged ones and are compared with
     themselves, as the reference semantics have it; ``compare_to_a`` compares them with A's.
@@ -226,8 +234,10 @@ def verify(pairs: DataFrame, key: str = "invoice_id", include_tax: bool = False,
         reasons = F.when(F.size(f["reasons"]) == 0, F.array(default)).otherwise(f["reasons"])
         return F.struct(field.alias("field"), F.lit(order).alias("field_ord"), idx.alias("idx"), part.alias("part"), text.alias("value_text"), number.alias("value_number"), status(f["rank"]).alias("status"), f["rank"].alias("rank"), F.round(f["confidence"], 2).alias("confidence"), reasons.alias("reasons"), f["hints"].alias("hints"))
 
-    nothing, no_text, no_number = F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(None).cast("decimal(18,4)")
-    scalars = F.array(*[verdict(F.lit(f), k, nothing, no_text, no_text if f in NUMERIC else m[f], m[f].cast("decimal(18,4)") if f in NUMERIC else no_number, F.col(f"_{f}")) for k, f in enumerate(SCALARS)])
+    nothing, no_text, no_number = F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(None).cast(AMOUNT)
+    scalars = F.array(*[verdict(F.lit(f), k, nothing, no_text, no_text if f in NUMERIC else m[f], m[f].cast(AMOUNT) if f in NUMERIC else no_number, F.col(f"_{f}")) for k, f in enumerate(SCALARS)])
+
+    step = step.withColumn("scalar_verdicts", scalars)
 
     def part_verdict(x: Column, i: Column, p: str) -> Column:
         checks = part_checks(p, x, F.get(F.col("_other"), i), F.col("_single"))
@@ -249,8 +259,8 @@ def verify(pairs: DataFrame, key: str = "invoice_id", include_tax: bool = False,
     # Without a reason of its own the group is green; its confidence still tells of the rows.
     group_rank = F.when(F.size(own) == 0, 0).otherwise(reached)
     base = F.element_at(F.array(*[F.lit(BASE_CONFIDENCE[s]) for s in STATUSES]), reached + 1)
-    group = verdict(F.lit("line_items"), 99, nothing, no_text, no_text, n_rows.cast("decimal(18,4)"), F.struct(group_rank.alias("rank"), base.alias("confidence"), own.alias("reasons"), no_hints.alias("hints")))
-    return step.select(*[c for c in pairs.columns if c not in ("a", "b")], "merged", F.concat(scalars, F.col("_rows"), F.array(group)).alias("verdicts"), worst.alias("line_items_worst"))
+    group = verdict(F.lit("line_items"), 99, nothing, no_text, no_text, n_rows.cast(AMOUNT), F.struct(group_rank.alias("rank"), base.alias("confidence"), own.alias("reasons"), no_hints.alias("hints")))
+    return step.select(*[c for c in pairs.columns if c not in ("a", "b")], "merged", F.concat(F.col("scalar_verdicts"), F.col("_rows"), F.array(group)).alias("verdicts"), worst.alias("line_items_worst"), "scalar_verdicts")
 
 
 def verdict_rows(verified: DataFrame, key: str = "invoice_id") -> DataFrame:

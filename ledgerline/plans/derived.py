@@ -6,10 +6,10 @@ a function of the order's key, so both engines of a comparison derive the same r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schemas import AMOUNT, INVOICE, MONEY
+from ..schemas import INVOICE, MONEY, NARROW
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +20,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """invoice_id, idx, description, quantity, unit_price, line_total, returnflag."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag")
-    quantity, price = F.col("l_quantity").cast(AMOUNT), F.col("p_retailprice").cast(AMOUNT)
+    quantity, price = F.col("l_quantity").cast(NARROW), F.col("p_retailprice").cast(NARROW)
     return lines.select(
         F.col("l_orderkey").alias("invoice_id"),
         (F.row_number().over(order) - 1).alias("idx"),
@@ -32,9 +32,16 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sums() -> list[Column]:
+    return [F.count("*").alias("n_items"), F.sum("line_total").cast(MONEY).alias("subtotal")]
+
+
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """invoice_id, items, subtotal, tax, total, printed_total, mode."""
-    sums = items(spark, sf_dir).groupBy("invoice_id").agg(F.count("*").alias("n_items"), F.sum("line_total").cast(MONEY).alias("subtotal"))
+    return _taxed(items(spark, sf_dir).groupBy("invoice_id").agg(*_sums()))
+
+
+def _taxed(sums: DataFrame) -> DataFrame:
     key = F.col("invoice_id")
     rate = F.when(key % 4 == 1, F.lit("0.13")).when(key % 4 == 2, F.lit("0.16")).when(key % 4 == 3, F.lit("0.17")).cast("decimal(4,2)")
     sums = sums.withColumn("tax", (F.col("subtotal") * rate).cast(MONEY))
@@ -45,14 +52,19 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scalar fields of both readings: columns a_* and b_*, the truth, and the mode."""
+    return _read_twice(spark, sf_dir, totals(spark, sf_dir))
+
+
+def _read_twice(spark: SparkSession, sf_dir: str, totalled: DataFrame, *others: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("invoice_id"), F.col("o_orderdate").alias("day"))
-    base = totals(spark, sf_dir).join(orders, "invoice_id")
+    base = totalled.join(orders, "invoice_id")
     key = F.col("invoice_id")
     number = F.concat(F.lit("INV-"), F.date_format("day", "yyyy"), F.lit("-"), F.lpad((key % 10000).cast("string"), 4, "0"))
     date = F.date_format("day", "yyyy-MM-dd")
     unless = lambda k, c: F.when(key % k != 0, c)
     return base.select(
         "invoice_id",
+        *others,
         "mode",
         "n_items",
         number.alias("number"),
@@ -72,15 +84,16 @@ def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """invoice_id, a, b: both readings as invoices, with their rows."""
-    rows = items(spark, sf_dir).groupBy("invoice_id").agg(F.array_sort(F.collect_list(F.struct("idx", "description", "quantity", "unit_price", "line_total"))).alias("rows"))
+    """invoice_id, a, b: both readings as invoices, with their rows.  Rows and sums come from one aggregation."""
+    rows = F.array_sort(F.collect_list(F.struct("idx", "description", "quantity", "unit_price", "line_total")))
+    grouped = items(spark, sf_dir).groupBy("invoice_id").agg(*_sums(), rows.alias("rows"))
     key = F.col("invoice_id")
     bare = F.transform("rows", lambda x: F.struct(x["description"].alias("description"), x["quantity"].alias("quantity"), x["unit_price"].alias("unit_price"), x["line_total"].alias("line_total")))
     fewer = F.slice(bare, F.lit(1), F.greatest(F.size("rows") - 1, F.lit(1)))
     off = F.transform(bare, lambda x, i: F.when(i == 0, x.withField("line_total", x["line_total"] + 1)).otherwise(x))
     a_rows = F.when(key % 29 == 0, off).otherwise(bare)
     b_rows = F.when(key % 29 == 0, off).when(key % 31 == 0, fewer).otherwise(bare)
-    both = scalars(spark, sf_dir).join(rows, "invoice_id")
+    both = _read_twice(spark, sf_dir, _taxed(grouped), "rows")
     side = lambda s, r: F.struct(F.col(f"{s}_number").alias("invoice_number"), F.col(f"{s}_date").alias("date"), r.alias("line_items"), *[F.col(f"{s}_{f}").alias(f) for f in ("subtotal", "tax", "total")]).cast(INVOICE)
     return both.select("invoice_id", side("a", a_rows).alias("a"), side("b", b_rows).alias("b"))
 

@@ -67,6 +67,6 @@ def test_similarities_of_any_script(spark, tmp_path):
     for k, (a, b) in enumerate(zip(texts, texts[1:])):
         a, b = a or "", b or ""
         want[k] = round(1 - distance(a, b) / max(len(a), len(b)), 6) if a or b else 1.0
-    got = {r["a"]: r["similarity"] for r in entry.queries()["similarity_pairs_whole"](spark, str(tmp_path)).collect()}
+    got = {r["a"]: r["similarity"] for r in entry.queries()["similarity_pairs"](spark, str(tmp_path)).collect()}
     assert got == want
-    assert entry.queries()["similarity_pairs_whole"](spark, str(DATA)).count() == spark.read.parquet(f"{DATA}/benchmark.parquet").count() - 1
+    assert entry.queries()["similarity_pairs"](spark, str(DATA)).count() == spark.read.parquet(f"{DATA}/benchmark.parquet").count() - 1

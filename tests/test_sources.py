@@ -123,3 +123,14 @@ def test_engines(spark):
     got = {r["invoice_id"]: r for r in engines.read_images(pages, engines.get_engine("text")).collect()}
     assert got["1"]["lines"] == ["a", "b"] and got["2"]["lines"] == []
     assert all(r["lines"] is None and "broken" in r["error"] for r in engines.read_images(pages, Fails()).collect())
+
+
+def test_a_run_in_one_folder(spark, made, tmp_path):
+    readings = made.select(F.lit("text").alias("engine"), "invoice_id", "lines")
+    rows, summary = evaluation.evaluate(readings, engines.setups(spark, ["text"]), made.select("invoice_id", "invoice"), made.select("invoice_id", "mode", "printed_total"))
+    latency = spark.createDataFrame([("text", 1.0, 1.0, 2.0)], "engine string, mean double, median double, max double")
+    exports.write_results(str(tmp_path / "run"), summary, latency, rows, ["text"], "dev")
+    assert spark.read.json(str(tmp_path / "run/run")).first()["engines"] == ["text"]
+    assert spark.read.json(str(tmp_path / "run/rows")).where("setup = 'text'").count() == 40
+    report = exports.markdown_report(summary.collect(), latency.collect(), "t", "dev", exports.markdown_rows(rows).collect())
+    assert "## text" in report and sum(x.startswith("| 00") for x in report.splitlines()) == 40
