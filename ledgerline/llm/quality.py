@@ -6,24 +6,26 @@ A third part counts the distinct tokens once a document, for rejection only.  Th
 log-ratio of a gram is smoothed towards "as frequent as expected", so that a rare
 gram says little.
 
-The sum of the log-ratios of a document's unigrams and bigrams is its importance
-weight; a Gumbel top-k over the weights draws the requested share of the corpus
-without replacement.
-
-Evidence is the sum of those log-ratios that fall below a cut.  A document is
-rejected when the evidence of its distinct tokens or that of its bigrams is under a
-threshold of its own.  Cuts and thresholds are those with the least cost on labelled
-documents that the target model has not seen; those of the bigrams are fitted on what
-the tokens accept.  Among the distinct tokens is an echo mark of texts in which many
-tokens repeat the one before: the bigrams of such texts differ by their word, so the
-bigrams of one text say little about the next.  All are fitted on at most
-``LABELLED_ROWS`` rows, taken in the order of a hash of their doc_id; the raw model
-and the scores cover all documents.
-
-Cases: a null or empty text has no grams, weight 0 and is accepted; a doc_id that
-has several labels counts by the worst; without labels every ratio is 0 and all
-documents are accepted; repeated rows are scored alike (they share a Gumbel draw,
-and ties at the k-th key are all drawn); an empty table gives no rows; other columns
+A document's importance is what its text has against it: the log-ratios of its grams
+that fall below a cut are summed to an evidence, that of its distinct tokens and that
+of its bigrams, and the importance is what the two lack to a threshold each; ratios
+above the cut count as zero, so that length and subject weigh nothing.  Cuts and
+thresholds are those with the least cost on labelled documents that the target model
+has not seen; those of the bigrams are fitted on what the tokens accept.  Among the
+distinct tokens is an echo mark of texts in which many tokens repeat the one before:
+the bigrams of such texts differ by their word, so the bigrams of one text say little
+about the next.  All are fitted on at most ``LABELLED_ROWS`` rows, taken in the order
+of a hash of their doc_id; the raw model and the scores cover all documents.
+
+Documents are resampled without replacement by a Gumbel top-k: the key of a document
+is ``SHARPNESS`` times its importance and a Gumbel draw of its doc_id, and the k
+largest keys are accepted.  As many are as lack nothing to a threshold, or the share
+that is asked for.
+
+Cases: a null or empty text has no grams and importance 0; a doc_id that has several
+labels counts by the worst; without labels every ratio is 0 and all documents are
+accepted; repeated rows are scored alike (they share a Gumbel draw, and ties at the
+k-th key are all accepted); an empty table gives no rows; other columns
 are ignored.
 """
 
@@ -37,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import memory
 from .common import shuffle_partitions, stage, table
@@ -49,11 +52,12 @@ PARTS = 3
 #: The parts whose evidence can reject a document.
 JUDGES = (DISTINCT, BIGRAMS)
 LABELLED_ROWS = 50_000
-SAMPLE_SHARE = 0.5
 CUTS = (-0.7, -1.0, -1.5, -2.0, -2.5, -3.0)
 #: A clean document that is lost costs as much as this many bad ones that stay.
 CLEAN_COST = 2.0
 SEED = 7
+#: How many units of a Gumbel draw a unit of importance is worth.
+SHARPNESS = 8.0
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MEMO_WORDS = 300_000
@@ -206,12 +210,16 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
 
 @dataclass
 class Classifier:
-    """Log-ratios of the grams, and for each of JUDGES the cut and threshold of its evidence."""
+    """Log-ratios of the grams, and for each of JUDGES the (part, cut) and threshold of its evidence."""
 
     ratios: np.ndarray
     cuts: tuple[tuple[int, float], ...]
     thresholds: tuple[float, ...]
 
+    def importance(self, evidence: list[float]) -> float:
+        """0, or what the evidences lack to their thresholds."""
+        return sum(min(0.0, e - t) for e, t in zip(evidence, self.thresholds, strict=True) if e < t)
+
 
 def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Classifier:
     texts = _texts(docs)
@@ -237,28 +245,44 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS)
     return Classifier(ratios, tuple(cuts), tuple(thresholds))
 
 
-def keep_accepted(docs: DataFrame, model: Classifier) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text the classifier accepts."""
+def gumbel_key(importance: F.Column, doc_id: F.Column) -> F.Column:
+    uniform = (F.pmod(F.xxhash64(F.lit(SEED), doc_id), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    return F.lit(SHARPNESS) * importance - F.log(-F.log(uniform))
+
+
+def _last_key(keyed: DataFrame, importance: str, key: str, share: float | None) -> float:
+    """The least key that is accepted."""
+    k = keyed.where(F.col(importance) == 0).count() if share is None else round(share * keyed.count())
+    return kth_largest(keyed, key, k)
+
+
+def keep_accepted(docs: DataFrame, model: Classifier, share: float | None = None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the resampling accepts."""
     known = docs.sparkSession.sparkContext.broadcast(model.ratios)
-    at, cuts, thresholds = docs.columns.index("text"), model.cuts, model.thresholds
+    at, judge = docs.columns.index("text"), Classifier(np.zeros(0, np.float32), model.cuts, model.thresholds)
+    importance, key = "_importance", "_gumbel_key"
+    while {importance, key} & set(docs.columns):
+        importance, key = importance + "_", key + "_"
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory.claim("quality")
         for batch in batches:
-            sums = [_evidence(known.value, grams(t.as_py() or ""), cuts) for t in batch.column(at)]
-            yield batch.filter(pa.array([all(e >= t for e, t in zip(x, thresholds, strict=True)) for x in sums], pa.bool_()))
+            weights = [judge.importance(_evidence(known.value, grams(t.as_py() or ""), judge.cuts)) for t in batch.column(at)]
+            yield batch.append_column(importance, pa.array(weights, pa.float64()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    weighed = docs.mapInArrow(weigh, T.StructType([*docs.schema.fields, T.StructField(importance, T.DoubleType())]))
+    keyed = stage(weighed.withColumn(key, gumbel_key(F.col(importance), F.col("doc_id").cast("long"))), "quality-keys")
+    return keyed.where(F.col(key) >= F.lit(_last_key(keyed, importance, key, share))).select(docs.columns)
 
 
-def classify(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, sample_share: float = SAMPLE_SHARE) -> DataFrame:
-    """doc_id, n_grams, log_weight, evidence of the distinct tokens and of the bigrams, gumbel_key, accepted and drawn."""
+def classify(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, share: float | None = None) -> DataFrame:
+    """doc_id, n_grams, log_weight (of all unigrams and bigrams), evidence, bigram_evidence, importance, gumbel_key and accepted."""
     model = fit(docs, labels, labelled_rows)
-    scores = _scored(_texts(docs), model.ratios, model.cuts, "doc_id").select("doc_id", "n_grams", "log_weight", F.col("evidence")[0].alias("evidence"), F.col("evidence")[1].alias("bigram_evidence"))
-    uniform = (F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    scores = stage(scores.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))), "quality-scores")
-    last = kth_largest(scores, "gumbel_key", round(sample_share * scores.count()))
-    return scores.withColumn("accepted", (F.col("evidence") >= F.lit(model.thresholds[0])) & (F.col("bigram_evidence") >= F.lit(model.thresholds[1]))).withColumn("drawn", F.col("gumbel_key") >= F.lit(last))
+    scores = _scored(_texts(docs), model.ratios, model.cuts, "doc_id")
+    lacks = [F.least(F.col("evidence")[k] - F.lit(t), F.lit(0.0)) for k, t in enumerate(model.thresholds)]
+    scores = scores.select("doc_id", "n_grams", "log_weight", F.col("evidence")[0].alias("evidence"), F.col("evidence")[1].alias("bigram_evidence"), sum(lacks[1:], lacks[0]).alias("importance"))
+    scores = stage(scores.withColumn("gumbel_key", gumbel_key(F.col("importance"), F.col("doc_id"))), "quality-scores")
+    return scores.withColumn("accepted", F.col("gumbel_key") >= F.lit(_last_key(scores, "importance", "gumbel_key", share)))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

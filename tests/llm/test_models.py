@@ -1,5 +1,7 @@
+import collections
 import functools
 import itertools
+import math
 import random
 import struct
 import zlib
@@ -129,7 +131,7 @@ def test_words_and_decoding(models, text):
     assert bpe.decode(ids, True) == bpe.library.decode(ids)
 
 
-@pytest.mark.parametrize("size", [100, 1 << 15])
+@pytest.mark.parametrize("size", [500, 1 << 15])
 def test_documents(spark, size, monkeypatch):
     monkeypatch.setattr(pieces, "BLOCK_CHUNKS", 5)
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
@@ -174,13 +176,48 @@ def test_classifier_on_held_out_documents(spark):
     assert sum(right) / len(right) > 0.97
     clean = [r["accepted"] for r in rows if r["doc_id"] % 4 in (0, 3)]
     assert sum(clean) / len(clean) > 0.99
-    drawn = sorted(rows, key=lambda r: -r["gumbel_key"])
-    assert [r["drawn"] for r in drawn] == [True] * 600 + [False] * 600
+    drawn = sorted(quality.classify(frame(spark, docs), tags, share=0.25).collect(), key=lambda r: -r["gumbel_key"])
+    assert [r["accepted"] for r in drawn] == [True] * 300 + [False] * 900
     kept = quality.keep_accepted(frame(spark, docs), quality.fit(frame(spark, docs), tags))
     assert kept.schema == frame(spark, docs).schema
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in rows if r["accepted"]}
 
 
+def test_ratios_weights_and_keys_against_brute_force(spark):
+    docs, labels = labelled(600)
+    tags = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.fit(frame(spark, docs), tags)
+    hashes = {r["doc_id"]: r for r in spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", f"pmod(xxhash64(doc_id, {quality.SEED}), 4) = 0 as held", f"xxhash64({quality.SEED}, doc_id) as h").collect()}
+    good = {d for d, q, x in labels if q and not x}
+    found = {d: quality.grams(t) for d, t in docs}
+    raw, target = collections.Counter(), collections.Counter()
+    for d, parts in found.items():
+        for part in parts:
+            raw.update(part.tolist())
+            if d in good and not hashes[d]["held"]:
+                target.update(part.tolist())
+    size = 1 << quality.BITS
+    share = [sum(n for g, n in target.items() if g // size == k) / sum(n for g, n in raw.items() if g // size == k) for k in range(quality.PARTS)]
+    ratio = {g: math.log(target[g] + 1) - math.log(n * share[g // size] + 1) for g, n in raw.items()}
+    assert all(abs(model.ratios[g] - r) < 1e-5 for g, r in ratio.items())
+    assert np.count_nonzero(model.ratios) <= len(ratio)
+    rows = quality.classify(frame(spark, docs), tags).collect()
+    keys = {}
+    for r in rows:
+        parts = found[r["doc_id"]]
+        assert r["log_weight"] == pytest.approx(sum(ratio[g] for k in (quality.UNIGRAMS, quality.BIGRAMS) for g in parts[k].tolist()), abs=1e-2)
+        lacks = 0.0
+        for (part, cut), threshold in zip(model.cuts, model.thresholds, strict=True):
+            evidence = sum(ratio[g] for g in parts[part].tolist() if model.ratios[g] < cut)
+            lacks += min(0.0, evidence - threshold)
+        assert r["importance"] == pytest.approx(lacks, abs=1e-2)
+        uniform = (hashes[r["doc_id"]]["h"] % (1 << 52) + 0.5) / (1 << 52)
+        keys[r["doc_id"]] = quality.SHARPNESS * r["importance"] - math.log(-math.log(uniform))
+        assert r["gumbel_key"] == pytest.approx(keys[r["doc_id"]], abs=1e-6)
+    k = sum(r["importance"] == 0 for r in rows)
+    assert {r["doc_id"] for r in rows if r["accepted"]} == set(sorted(keys, key=keys.get)[-k:])
+
+
 def test_bad_texts_of_ordinary_words(spark):
     """Clean and bad texts have the same tokens; only their order, or how often a pair is there, differs."""
     words = [f"w{k}" for k in range(40)]
