@@ -35,7 +35,10 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 GZIP_MAGIC = b"\x1f\x8b\x08"
 RECORD_ID = "<urn:ledgerline:page:{}>"
 
-RECORDS_PER_ARCHIVE = 4096
+#: An archive is closed once it has this many bytes.
+ARCHIVE_BYTES = 1 << 28
+#: What one record may inflate to; Spark holds no larger value.
+MOST_RECORD = (1 << 31) - 1
 DATE = "2000-01-01T00:00:00Z"
 
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
@@ -96,13 +99,16 @@ class _Bad(Exception):
 
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    tool, out, fed = zlib.decompressobj(31), [], at
+    tool, out, fed, held = zlib.decompressobj(31), [], at, 0
     try:
         while not tool.eof:
             if fed >= len(data):
                 raise _Bad("gzip member cut short")
             out.append(tool.decompress(data[fed : fed + _STEP]))
             fed += _STEP
+            held += len(out[-1])
+            if held > MOST_RECORD:
+                raise _Bad("record larger than a value may be")
     except zlib.error as e:
         raise _Bad(f"gzip: {e}") from None
     return b"".join(out), min(fed, len(data)) - len(tool.unused_data)
@@ -194,7 +200,8 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> str:
     """Write a record a page; of equal payloads of ``min_bytes`` or more only the smallest page_id is stored."""
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
+    # SHA-1 names a payload, but texts with equal ones can be made; SHA-256 and the length decide.
+    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
     groups = rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
     groups = stage(groups, "warc-groups")
     marked = attach_by_key(rows, groups, ["digest", "size"], "copies", max(1, pages.count()), F.col("page_id"))
@@ -202,13 +209,20 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> str:
     marked = marked.select("page_id", "url", "payload", F.when(revisit, F.col("first_id")).alias("refers_to"), revisit.alias("revisit"))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive = held = 0
         for batch in batches:
-            made = [gzip_member(make_record(i.as_py(), u.as_py(), p.as_py(), r.as_py(), v.as_py()))[:-1] for i, u, p, r, v in zip(*batch.columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.large_binary()).cast(pa.binary())], names=["member"])
+            made, archives = [], []
+            for i, u, p, r, v in zip(*batch.columns, strict=True):
+                made.append(gzip_member(make_record(i.as_py(), u.as_py(), p.as_py(), r.as_py(), v.as_py()))[:-1])
+                archives.append(archive)
+                held += len(made[-1])
+                if held >= ARCHIVE_BYTES:
+                    archive, held = archive + 1, 0
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.large_binary()).cast(pa.binary()), pa.array(archives, pa.int32())], names=["member", "archive"])
 
     path = new_path(spark, "warc")
-    stored = marked.mapInArrow(members, "member binary").select(F.col("member").cast("string").alias("value"))
-    stored.write.option("lineSep", "\0").option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(path)
+    stored = marked.mapInArrow(members, "member binary, archive int").select(F.col("member").cast("string").alias("value"), "archive")
+    stored.write.option("lineSep", "\0").partitionBy("archive").text(path)
     unstage(groups)
     return path
 

@@ -94,3 +94,20 @@ def test_a_member_of_any_size_ends_with_zero():
     member = warc.gzip_member(big)
     assert member[-1] == 0
     assert found(member * 2)[0] == [warc.RECORD_ID.format(1)] * 2
+
+
+def test_archives_are_closed_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    rows = [(k, f"http://x/{k}", str(random.Random(k).random()) * 40) for k in range(60)]
+    path = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    found = warc.read_archives(spark, path).collect()
+    assert sorted(r["page_id"] for r in found) == list(range(60))
+    assert len({r["archive"] for r in found}) > 5
+
+
+def test_members_that_inflate_too_far_are_gaps(monkeypatch):
+    small = warc.gzip_member(warc.make_record(1, None, b"x", None, False))
+    monkeypatch.setattr(warc, "MOST_RECORD", 10_000)
+    large = warc.gzip_member(warc.make_record(2, None, b"y" * 50_000, None, False))
+    found = list(warc.salvage(large + small))
+    assert [type(x).__name__ for x in found] == ["Gap", "Record"] and "larger" in found[0].reason
