@@ -10,8 +10,8 @@ rendered dialogue; the texts in order of ``ordinal`` are the dialogue.  Places a
 prefix sums over blocks of turns, so a conversation of any length is never
 gathered in one task.
 
-Cases: a null text is empty; a null role is the participant "unknown"; null
-conv_ids form one conversation and null turns come first; turns that tie are
+Cases: a null text is empty; a null role is the participant "unknown"; a turn with a
+null conv_id is a dialogue of its own; null turns come first; turns that tie are
 ordered by role and text, equal rows are all kept; a conversation of narrators
 alone has no participant and gives no rows; an empty table gives no rows; other
 columns are ignored.  The marker "<|" in a text is broken up, so that no text can
@@ -38,20 +38,15 @@ def _head(role: Column, name: Column) -> Column:
 def rotate(conversations: DataFrame, narrators: Sequence[str] = ("system",)) -> DataFrame:
     break_up = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
     rows = conversations.select(
-        F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_NUMBER)).alias("conv"),
+        F.col("conv_id").cast("long").alias("conv"),
         F.coalesce(F.col("turn").cast("long"), F.lit(NO_NUMBER)).alias("at"),
         break_up(F.coalesce(F.col("role"), F.lit("unknown"))).alias("speaker"),
         break_up(F.coalesce(F.col("text"), F.lit(""))).alias("content"),
     )
     speaks = ~F.col("speaker").isin(*narrators) if narrators else F.lit(True)
-    cast = rows.where(speaks).select("conv", F.col("speaker").alias("perspective")).distinct()
-    views = rows.join(cast, "conv")
-    own = F.col("speaker") == F.col("perspective")
-    role = F.when(~speaks, F.col("speaker")).when(own, F.lit("assistant")).otherwise(F.lit("user"))
-    name = F.when(speaks & ~own, F.col("speaker"))
-    head = _head(role, name)
-    views = views.select("conv", "perspective", "at", "speaker", role.alias("role"), name.alias("name"), "content", F.concat(head, "content", F.lit("<|im_end|>\n")).alias("rendered"), F.char_length(head).cast("long").alias("head_chars"), own.alias("trained"))
-    views = views.withColumn("block", F.floor(F.col("at") / BLOCK_TURNS)).withColumn("chars", F.char_length("rendered").cast("long"))
+    talks = rows.where(F.col("conv").isNotNull())
+    cast = talks.where(speaks).select("conv", F.col("speaker").alias("perspective")).distinct()
+    views = _rendered(talks.join(cast, "conv"), speaks).withColumn("block", F.floor(F.col("at") / BLOCK_TURNS))
 
     in_block = Window.partitionBy("conv", "perspective", "block").orderBy("at", "speaker", "content").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     views = views.withColumn("turns_to", F.count("*").over(in_block)).withColumn("chars_to", F.sum("chars").over(in_block))
@@ -59,27 +54,41 @@ def rotate(conversations: DataFrame, narrators: Sequence[str] = ("system",)) ->
     before = Window.partitionBy("conv", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("conv", "perspective", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c_before"))
     views = views.join(blocks, ["conv", "perspective", "block"])
+    views = views.withColumn("ordinal", F.col("n_before") + F.col("turns_to") - 1).withColumn("start", F.col("c_before") + F.col("chars_to") - F.col("chars"))
+
+    # A turn of no conversation is a dialogue of its own.
+    alone = _rendered(rows.where(F.col("conv").isNull() & speaks).withColumn("perspective", F.col("speaker")), speaks)
+    alone = alone.withColumn("ordinal", F.lit(0).cast("long")).withColumn("start", F.lit(0).cast("long"))
+    views = views.select(alone.columns).unionByName(alone)
 
-    start = F.col("c_before") + F.col("chars_to") - F.col("chars")
-    mask_from = start + F.col("head_chars")
-    known = lambda c: F.when(F.col(c) != NO_NUMBER, F.col(c))
+    stop = F.col("start") + F.col("chars")
     return views.select(
-        known("conv").alias("conv_id"),
+        F.col("conv").alias("conv_id"),
         "perspective",
-        (F.col("n_before") + F.col("turns_to") - 1).alias("ordinal"),
-        known("at").alias("turn"),
+        "ordinal",
+        F.when(F.col("at") != NO_NUMBER, F.col("at")).alias("turn"),
         "speaker",
         "role",
         "name",
         "rendered",
         "trained",
-        start.alias("start"),
-        (start + F.col("chars")).alias("stop"),
-        F.when(F.col("trained"), mask_from).alias("mask_start"),
-        F.when(F.col("trained"), start + F.col("chars") - 1).alias("mask_stop"),
+        "start",
+        stop.alias("stop"),
+        F.when(F.col("trained"), F.col("start") + F.col("head_chars")).alias("mask_start"),
+        F.when(F.col("trained"), stop - 1).alias("mask_stop"),
     )
 
 
+def _rendered(views: DataFrame, speaks: Column) -> DataFrame:
+    """Role, name and text of a turn in a perspective."""
+    own = F.col("speaker") == F.col("perspective")
+    role = F.when(~speaks, F.col("speaker")).when(own, F.lit("assistant")).otherwise(F.lit("user"))
+    name = F.when(speaks & ~own, F.col("speaker"))
+    head = _head(role, name)
+    views = views.select("conv", "perspective", "at", "speaker", role.alias("role"), name.alias("name"), "content", F.concat(head, "content", F.lit("<|im_end|>\n")).alias("rendered"), F.char_length(head).cast("long").alias("head_chars"), own.alias("trained"))
+    return views.withColumn("chars", F.char_length("rendered").cast("long"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(table(spark, sf_dir, "conversations"))
 
@@ -107,4 +116,8 @@ SELECT conv_id, perspective, ordinal, turn, speaker, role, name, rendered, train
        CASE WHEN trained THEN CAST(stop - length(rendered) + length(head) AS BIGINT) END AS mask_start,
        CASE WHEN trained THEN CAST(stop - 1 AS BIGINT) END AS mask_stop
 FROM p
+UNION ALL
+SELECT NULL, speaker, 0, turn, speaker, 'assistant', NULL, rendered, true, 0, length(rendered), length(head), length(rendered) - 1
+FROM (SELECT *, '<|im_start|>assistant' || chr(10) AS head, '<|im_start|>assistant' || chr(10) || content || '<|im_end|>' || chr(10) AS rendered
+      FROM t WHERE conv_id IS NULL AND speaker <> 'system')
 """
