@@ -7,8 +7,8 @@ fingerprints are then compared byte by byte with the one of smallest doc_id; a
 text that differs (a collision) gets its SHA-256 appended, so in the result
 fingerprints are equal exactly where canonical texts are.
 
-Cases: a null text counts as empty; equal doc_ids are ordered by their text; a
-null doc_id sorts before the others; a single document is its own successor; an
+Cases: a null text counts as empty; equal doc_ids are ordered by the hash of their
+text, then by their text; a null doc_id sorts before the others; a single document is its own successor; an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -17,11 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import HEAVY_SHARE, stage, table
 
-SLOTS = 1024
-#: Documents that one window task should get.
-BUCKET_ROWS = 65536
+#: Documents that one range of doc_ids should get, and the most ranges.
+RANGE_ROWS = 65536
+MOST_RANGES = 16384
+NO_ID = -(1 << 63)
 
 
 def _nfkc(text: Column) -> Column:
@@ -45,32 +46,49 @@ def digest(canon: Column) -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in halves]))
 
 
+def _below(bounds: list[int], value: Column, strictly: bool) -> Column:
+    """How many of the ascending bounds are less than (or equal to) a value, by halving."""
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    known = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<long>")
+
+    def step(found: Column, size: Column) -> Column:
+        bound = F.get(known, found + size - 1)
+        return found + F.when(bound < value if strictly else bound <= value, size).otherwise(0)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step) if steps else F.lit(0)
+
+
 def with_successor(docs: DataFrame) -> DataFrame:
     """Add next_text, the text of the next document by doc_id (after the last: the first).
 
-    doc_ids are cut into ranges with similar numbers of rows: 1024 equal slots of
-    the id span, each divided by its own count.  Every range also gets a copy of
-    the row that opens the next range, so one window a range is enough.
+    doc_ids are cut into ranges of similar numbers of rows at approximate quantiles,
+    wherever the ids lie.  A doc_id that holds several quantiles, and rows without
+    one, are divided by the hash of their text, which is the order among equal ids.
+    Every range also gets a copy of the row that opens the next range, so one window a
+    range is enough.
     """
-    lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    lo, span = lo or 0, float((hi or 0) - (lo or 0) + 1)
-    place = (F.col("doc_id") - F.lit(lo)).cast("double") / F.lit(span) * SLOTS
-    slot = F.coalesce(F.least(F.floor(place), F.lit(SLOTS - 1).cast("long")), F.lit(-1).cast("long"))
-    rows = docs.withColumn("_slot", slot).withColumn("_place", place)
-    slots = rows.groupBy("_slot").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / BUCKET_ROWS))
-    slots = slots.select("_slot", "parts", (F.sum("parts").over(Window.orderBy("_slot")) - F.col("parts")).alias("base"))
-    inner = F.coalesce(F.least(F.floor((F.col("_place") - F.col("_slot")) * F.col("parts")), F.col("parts") - 1), F.lit(0).cast("long"))
-    rows = rows.join(F.broadcast(slots), "_slot").withColumn("_bucket", F.col("base") + inner).drop("_slot", "_place", "parts", "base")
-
-    # The slots' summary has one row a range, at most rows / BUCKET_ROWS + 2 * SLOTS.
-    opens = rows.groupBy("_bucket").agg(F.min("doc_id").alias("_opens"))
+    n, n_null = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    parts = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
+    shares = [k / parts for k in range(1, parts)]
+    bounds = list(docs.agg(F.percentile_approx("doc_id", shares, max(1000, min(200_000, 20 * parts)))).first()[0] or []) if shares else []
+    null_parts = max(1, min(MOST_RANGES, -(-n_null // RANGE_ROWS)))
+
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    spread = F.col("_hash") / F.lit(2.0**64) + F.lit(0.5)
+    rows = rows.withColumns({"_low": _below(bounds, F.col("doc_id"), True), "_high": _below(bounds, F.col("doc_id"), False)})
+    among = lambda size: F.least(F.floor(spread * size), size - 1).cast("int")
+    own = F.col("_low") + among(F.col("_high") - F.col("_low") + 1)
+    rows = rows.withColumn("_bucket", F.when(F.col("doc_id").isNull(), among(F.lit(null_parts)) - F.lit(null_parts)).otherwise(own)).drop("_low", "_high")
+
+    # A row a range, of which there are at most 2 * MOST_RANGES.
+    opens = rows.groupBy("_bucket").agg(F.min(F.struct("doc_id", "_hash")).alias("_opens"))
     order = Window.orderBy("_bucket")
     opens = opens.select("_bucket", "_opens", F.coalesce(F.lag("_bucket").over(order), F.max("_bucket").over(Window.partitionBy())).alias("_before"))
     rows = rows.join(F.broadcast(opens), "_bucket")
-    is_open = F.col("doc_id").eqNullSafe(F.col("_opens"))
+    is_open = F.struct("doc_id", "_hash").eqNullSafe(F.col("_opens"))
     places = F.array_compact(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("copy")), F.when(is_open, F.struct(F.col("_before").alias("b"), F.lit(1).alias("copy")))))
-    rows = rows.select("doc_id", "text", F.explode(places).alias("_at"))
-    follow = Window.partitionBy("_at.b").orderBy("_at.copy", "doc_id", "text")
+    rows = rows.select("doc_id", "_hash", "text", F.explode(places).alias("_at"))
+    follow = Window.partitionBy("_at.b").orderBy("_at.copy", "doc_id", "_hash", "text")
     return rows.select("doc_id", "text", "_at", F.lead("text").over(follow).alias("next_text")).where("_at.copy = 0").drop("_at")
 
 
@@ -85,11 +103,19 @@ def collisions(docs: DataFrame, prints: DataFrame) -> DataFrame:
 
     ``prints`` has doc_id and fingerprint.  Only groups of two or more are compared.
     """
-    groups = stage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "fingerprint-groups")
-    texts = fingerprint(docs).select("doc_id", "fingerprint", "canon")
-    firsts = texts.join(groups, ["fingerprint", "doc_id"]).groupBy("fingerprint").agg(F.min("canon").alias("first_canon"))
+    known = lambda df: df.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    groups = known(prints).groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).where("copies > 1")
+    groups = stage(groups, "fingerprint-groups")
+    # A group that holds HEAVY_SHARE of the rows is compared in parts; there are at most 1 / HEAVY_SHARE such groups.
+    least = max(1000, int(prints.count() * HEAVY_SHARE))
+    parts = F.ceil(F.col("copies") / F.lit(least)).cast("int")
+    heavy = groups.where(F.col("copies") >= least).select("fingerprint", parts.alias("parts"))
+    texts = known(fingerprint(docs)).select("doc_id", "fingerprint", "canon")
+    firsts = texts.join(groups.drop("copies"), ["fingerprint", "doc_id"]).groupBy("fingerprint").agg(F.min("canon").alias("first_canon"))
     firsts = stage(firsts, "fingerprint-texts")
-    differ = texts.join(firsts, "fingerprint").where(F.col("canon") != F.col("first_canon"))
+    each = firsts.join(F.broadcast(heavy), "fingerprint", "left").select("fingerprint", "first_canon", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    dealt = texts.join(F.broadcast(heavy), "fingerprint", "left").select("fingerprint", "canon", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit("part")), F.col("parts"))).otherwise(0).cast("int").alias("part"))
+    differ = dealt.join(each, ["fingerprint", "part"]).where(F.col("canon") != F.col("first_canon"))
     return differ.select("fingerprint", F.sha2("canon", 256).alias("canon_sha256")).distinct()
 
 

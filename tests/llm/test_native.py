@@ -2,6 +2,7 @@ import hashlib
 import re
 import unicodedata
 
+import xxhash
 from pyspark.sql import functions as F
 
 from ledgerline.llm import chat, fingerprints
@@ -15,8 +16,32 @@ def folded(text):
     return re.sub(r"[\s\x1c-\x1f\x85]+", " ", text).strip(" ")
 
 
+def in_order(rows):
+    signed = lambda t: int.from_bytes(xxhash.xxh64(t.encode(), 42).digest(), "big", signed=True)
+    return sorted(((d, t or "") for d, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, signed(x[1]), x[1]))
+
+
+def test_successors_of_ids_anywhere(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
+    ids = [*range(100), -(1 << 63), (1 << 63) - 1, 1 << 62, *[55] * 40, *[None] * 30]
+    rows = [(d, f"text {k}") for k, d in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["text"]: r["next_text"] for r in fingerprints.with_successor(df).collect()}
+    order = [t for _, t in in_order(rows)]
+    assert got == dict(zip(order, order[1:] + order[:1]))
+
+
+def test_hot_groups_are_compared_in_parts(spark, monkeypatch):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 == 3, "B").otherwise("a").alias("text"))
+    prints = docs.select("doc_id", F.lit("0" * 32).alias("fingerprint"))
+    texts_of = fingerprints.fingerprint
+    monkeypatch.setattr(fingerprints, "fingerprint", lambda d: texts_of(d).withColumn("fingerprint", F.lit("0" * 32)))
+    odd = fingerprints.collisions(docs, prints).collect()
+    assert [r["canon_sha256"] for r in odd] == [hashlib.sha256(b"b").hexdigest()]
+
+
 def test_fingerprints(spark):
-    rows = sorted(((d, t or "") for d, t in texts()), key=lambda x: (x[0] is not None, x[0], x[1]))
+    rows = in_order(texts())
     got = fingerprints.fingerprint_edits(documents(spark)).collect()
     key = lambda r: (r["doc_id"] is not None, r["doc_id"], r["n_chars"], r["edited_sha256"])
     want, prints = [], {}
@@ -81,6 +106,8 @@ def test_rotation(spark):
         assert dialogue.count("<|im_end|>") == len(turns)
     assert len(views[(1, "ann")]) == 6
     assert chat.rotate(df.limit(0)).count() == 0
+    alone = spark.createDataFrame([(None, k, f"p{k % 50}", "x") for k in range(500)], "conv_id long, turn long, role string, text string")
+    assert chat.rotate(alone).count() == 500
 
 
 def test_long_conversations_run_over_blocks(spark):
