@@ -70,6 +70,9 @@ def _jpeg(d: bytes, at: int) -> tuple[str, int] | None:
     p = at + 2
     while p + 2 <= len(d) and d[p] == 0xFF:
         marker = d[p + 1]
+        if marker == 0xFF:  # a fill byte
+            p += 1
+            continue
         if marker == 0xD9:
             return "jpeg", p + 2 - at
         if p + 4 > len(d):
@@ -167,18 +170,45 @@ def _pdf(d: bytes, at: int) -> tuple[str, int] | None:
     return ("pdf", end - at) if end else None
 
 
+def _ogg_table() -> list[int]:
+    """The remainders of a byte on top of a 32-bit word."""
+    table = []
+    for byte in range(256):
+        word = byte << 24
+        for _ in range(8):
+            word = (word << 1 ^ (0x04C11DB7 if word & 1 << 31 else 0)) & 0xFFFFFFFF  # fixed value: the format's polynomial
+        table.append(word)
+    return table
+
+
+_OGG_TABLE = _ogg_table()
+
+
+def _ogg_checksum(page: bytes) -> int:
+    word = 0
+    for byte in page[:22] + bytes(4) + page[26:]:
+        word = (word << 8 & 0xFFFFFFFF) ^ _OGG_TABLE[word >> 24 ^ byte]
+    return word
+
+
 def _ogg(d: bytes, at: int) -> tuple[str, int] | None:
-    p = at
+    """Pages of one or more streams, side by side or one after the other; the file ends where all that began have ended."""
+    p, end, running = at, at, set()
     while d.startswith(b"OggS\0", p) and p + 27 <= len(d):
-        flags, n = d[p + 5], d[p + 26]
-        if (p == at) != bool(flags & 2) or p + 27 + n > len(d):
-            return None
-        p += 27 + n + sum(d[p + 27 : p + 27 + n])
-        if p > len(d):
-            return None
+        flags, serial, said, n = d[p + 5], *struct.unpack_from("<I", d, p + 14), *struct.unpack_from("<I", d, p + 22), d[p + 26]
+        if p + 27 + n > len(d):
+            break
+        stop = p + 27 + n + sum(d[p + 27 : p + 27 + n])
+        begins = bool(flags & 2)
+        if stop > len(d) or begins == (serial in running) or _ogg_checksum(d[p:stop]) != said:
+            break
+        running.add(serial)
         if flags & 4:
-            return "ogg", p - at
-    return None
+            running.discard(serial)
+        p = stop
+        if not running:
+            end = p
+    return ("ogg", end - at) if end > at else None
 
 
 #: Boxes at the top of an MP4 file: after one of these names the size must hold.

@@ -22,7 +22,24 @@ GIF = b"GIF89a\1\0\1\0\x80\0\0\0\0\0\xff\xff\xff,\0\0\0\0\1\0\1\0\0\2\2D\1\0;"
 JPEG = b"\xff\xd8\xff\xe0\0\x10JFIF\0\1\1\0\0\1\0\1\0\0\xff\xda\0\x08\1\1\0\0?\0\x12\xff\0\x34\xff\xd9"
 PDF = b"%PDF-1.4\n1 0 obj\nendobj\nstartxref\n0\n%%EOF"
 MP4 = struct.pack(">I4s4sI", 16, b"ftyp", b"isom", 0) + struct.pack(">I4s", 8, b"moov")
-OGG = b"OggS\0\2" + b"\0" * 20 + b"\1\5hello" + b"OggS\0\4" + b"\0" * 20 + b"\1\3end"
+
+
+def ogg_sum(data):
+    word = 0
+    for byte in data:
+        for bit in range(7, -1, -1):
+            top = word >> 31 ^ byte >> bit & 1
+            word = (word << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if top else 0)
+    return word
+
+
+def page(flags, serial, body):
+    head = b"OggS\0" + bytes([flags]) + bytes(8) + struct.pack("<II", serial, 0)
+    tail = bytes([1, len(body)]) + body
+    return head + struct.pack("<I", ogg_sum(head + bytes(4) + tail)) + tail
+
+
+OGG = page(2, 1, b"hello") + page(4, 1, b"end")
 FILES = {"png": png(), "bmp": bmp(), "gif": GIF, "jpeg": JPEG, "pdf": PDF, "mp4": MP4, "ogg": OGG, "wav": media.wav_of(b"ab" * 96)}
 
 
@@ -104,3 +121,20 @@ def test_stored_texts_come_back(spark):
         assert r["detected_type"] == "audio/wav" and r["media_bytes"] == r["payload_bytes"] + 44
         assert features.setdefault(r["payload_sha256"], (r["feature"], r["media_sha256"])) == (r["feature"], r["media_sha256"])
     assert media.media_features(media.store_texts(empty(spark))).count() == 0
+
+
+def test_ogg_streams():
+    assert ogg_sum(b"123456789") == 0x89A1897F
+    side = page(2, 1, b"a") + page(2, 2, b"b") + page(4, 2, b"c") + page(4, 1, b"d")
+    assert media.sniff(side) == [(0, len(side), "ogg")]
+    assert media.sniff(side + OGG + b"tail") == [(0, len(side + OGG), "ogg")]
+    broken = bytearray(side)
+    broken[-1] ^= 1
+    assert media.sniff(bytes(broken)) == [(29, 58, "ogg")]  # the second stream is whole
+    assert media.sniff(OGG + page(2, 5, b"cut short")) == [(0, len(OGG), "ogg")]
+
+
+def test_jpeg_with_fill_bytes():
+    at = JPEG.index(b"\xff", 2)
+    filled = JPEG[:at] + b"\xff\xff" + JPEG[at:]
+    assert media.sniff(filled) == [(0, len(filled), "jpeg")]
