@@ -4,9 +4,10 @@ Neither public vocabulary merges across the last blank of a run: one drops white
 space, the other makes a space the start of the next word and any other blank a
 unit.  So a text is the concatenation of its words, and a word that was seen
 before need not be encoded again.  A word of letters with marks after it is two
-units for both; its letters go straight to the library's BPE model.  A probe at
-the start compares that with whole calls, and turns it off for a vocabulary where
-it differs.  ``tests/llm`` compare whole texts.
+units for both; its letters go straight to the library's BPE model.  Probes at the
+start compare both assumptions with whole calls: a vocabulary whose merges cross a
+blank is encoded by whole texts, one whose words of letters differ by the library.
+``tests/llm`` compare whole texts.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ MEMO_CHARS = 48
 _RUN = re.compile(r"[ \n](?:\s|\Z)")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _PROBE = ["stream", "Wörter", "État", "naïve", "ALL", "Straße", "ñandú", "x", "antidisestablishment"]
+#: Texts with blanks and line breaks between letters, digits and marks, which may be cut there.
+_SPACED = [a + gap + b for gap in (" ", "\n", " \n", "\n\n", "  ", "\t ", "\r\n") for a in ("the", "x.", "7", "É") for b in ("of the", "\"in", "42", "ñ a", "'s")]
 _OPEN: dict[str, "WordEncoder"] = {}
 
 
@@ -52,7 +55,12 @@ class WordEncoder:
         self._later: dict[str, bytes] = {}
         self._lowers = self._tokenizer.normalizer is not None
         self._newline = self._library(["\n"])[0]
-        self._fast = all([self._library([s + w for w in _PROBE]) == [self._letters(s, w) for w in _PROBE] for s in ("", " ")])
+        self._apart = True
+        self._fast = False
+        self._apart = self.encode_many(_SPACED) == self._library(_SPACED)
+        self._first.clear()
+        self._later.clear()
+        self._fast = self._apart and all([self._library([s + w for w in _PROBE]) == [self._letters(s, w) for w in _PROBE] for s in ("", " ")])
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
@@ -95,6 +103,8 @@ class WordEncoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts as little-endian unsigned 32-bit integers."""
+        if not self._apart:
+            return self._library(texts)
         split = [self._words(t) for t in texts]
         first, later = self._first, self._later
         if len(later) + len(first) > MEMO_WORDS:

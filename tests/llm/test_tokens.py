@@ -41,6 +41,25 @@ def test_any_text(tool, text):
     assert np.frombuffer(fast.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_probes_let_words_apart(name):
+    assert encoder(P.path(name))._apart and encoder(P.path(name))._fast
+
+
+def test_merges_across_a_blank_are_encoded_whole(tmp_path):
+    from tokenizers import models
+
+    vocab = {c: k for k, c in enumerate("the of x a b")} | {"e ": 20, "e o": 21}
+    vocab |= {c: len(vocab) + k for k, c in enumerate(set("the of x a b.\"'inñ42s7É\n\t\r") - set(vocab))}
+    tool = Tokenizer(models.BPE(vocab={t: k for k, t in enumerate(vocab)}, merges=[("e", " "), ("e ", "o")]))
+    path = str(tmp_path / "crossing.json")
+    tool.save(path)
+    ours = encoder(path)
+    text = "the of the x"
+    assert not ours._apart
+    assert np.frombuffer(ours.encode(text), "<u4").tolist() == tool.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=700), max_size=6), st.integers(0, 3))
 def test_segments_give_back_every_id(docs, shift):
