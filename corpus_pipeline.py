@@ -4,10 +4,12 @@ Every stage works on what the one before it kept and is written and read again
 between stages.  All but the last return the columns of ``documents``, extra ones
 included, with their types.
 
-Cases: null and empty texts pass the filter, are near copies of nothing, stay empty
-and are packed as an end id alone (a null text is empty after ``passages``); a null
-doc_id is never a near copy and counts as smaller than the others when passages are
-cut; of rows that repeat a doc_id one stays; an empty table gives an empty result.
+Cases: null and empty texts pass the filter unless the classifier's draw says
+otherwise, are near copies of nothing, stay empty and are packed as an end id alone
+(a null text is empty after ``passages``); a null doc_id is never a near copy of
+another document and counts as smaller than the others when passages are cut; of rows
+with equal doc_id (or none) and equal text one stays; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -22,25 +24,26 @@ from ledgerline.llm.packing import pack_documents
 from ledgerline.llm.quality import fit, keep_accepted
 from ledgerline.llm.suffix_dedup import remove_repeats
 
-#: Passages of more than 50 words are longer than this many bytes; chance repeats are shorter.
+#: Repeats of this many bytes are cut.  Passages of more than 50 words are longer, unless their words have
+#: hardly two letters on average; shorter repeats occur by chance.
 PASSAGE_BYTES = 160
 PASSAGE_GRAM = 32
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier's resampling does not accept go."""
     return keep_accepted(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest doc_id.
 
-    Rows that repeat a doc_id are one document, of which one row stays; rows
-    without a doc_id all stay.
+    Rows that repeat a doc_id are one document: all its texts stay or go, equal ones
+    once.  Of rows without a doc_id those with equal texts stay once.
     """
     kept = near_duplicates(docs, words=5).where("kept").select("doc_id")
-    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return known.unionByName(docs.where(F.col("doc_id").isNull()))
+    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    return known.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
