@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import HEAVY_SHARE, stage, table
 
 #: Documents that one range of doc_ids should get, and the most ranges.
-RANGE_ROWS = 65536
+RANGE_ROWS = 4096
 MOST_RANGES = 16384
 NO_ID = -(1 << 63)
 
