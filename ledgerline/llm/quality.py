@@ -57,7 +57,7 @@ CUTS = (-0.7, -1.0, -1.5, -2.0, -2.5, -3.0)
 CLEAN_COST = 2.0
 SEED = 7
 #: How many units of a Gumbel draw a unit of importance is worth.
-SHARPNESS = 8.0
+SHARPNESS = 32.0
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MEMO_WORDS = 300_000
