@@ -516,7 +516,8 @@ def large_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     product = F.when(k % 2 == 0, F.lit("big 9999999999 9999999999 99999999980000000001")).otherwise(F.lit("big 9999999999 9999999999 99999999980000000007"))
     far = F.lit("far 99999999999999999999999999999999 99999999999999999999999999999999 5")
     lines = F.array(F.lit("Contact 3001234567 3217654321 5"), F.lit("ref 12345678901234567890 333 500"), product, far, total)
-    read = extract(table(spark, sf_dir, "orders").select(k.alias("invoice_id"), lines.alias("lines")))
+    orders = derived.spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    read = extract(orders.select(k.alias("invoice_id"), lines.alias("lines")))
     verified = V.verify(read.select("invoice_id", F.col("invoice").alias("a"), F.lit(None).cast(read.schema["invoice"].dataType).alias("b")))
     items = F.col("merged.line_items")
     status = F.get(F.filter("verdicts", lambda v: v["field"] == "line_items[2].quantity"), F.lit(0))["status"]

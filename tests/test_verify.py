@@ -91,3 +91,60 @@ def test_confusions_are_symmetric():
 def test_plan_has_no_shuffle_and_no_python(spark):
     plan = V.verify(spark.createDataFrame([(0, invoice(), None)], PAIRS))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def _amounts():
+    import random
+
+    mix = random.Random(7)
+    shapes = [lambda: D(mix.randrange(1, 10**6)) / 100, lambda: D(mix.randrange(-(10**5), 10**5)) / 10000, lambda: D(mix.randrange(10**16)), lambda: D(10**32 - 1), lambda: D(mix.choice([0, 1, 5, 6, 8, 9])), lambda: D(mix.randrange(10**7)) / 1000]
+    digit = alternates()
+    for k in range(1200):
+        q, p = mix.choice(shapes)(), mix.choice(shapes)()
+        three = [q, p, (q * p).quantize(D("0.01")) if abs(q * p) < 10**24 else mix.choice(shapes)()]
+        n = mix.randrange(3)
+        printed = f"{three[n]:.2f}"
+        at = mix.choice([i for i, c in enumerate(printed) if c in digit])
+        if k % 5 and abs(three[n]) < 10**30:
+            three[n] = D(printed[:at] + mix.choice(digit[printed[at]]) + printed[at + 1 :])
+        if abs(three[2]) < 10**34:
+            yield (k, *three)
+
+
+def test_narrowed_repairs_are_those_of_the_whole_search(spark):
+    """Products, sums and totals: digits that can't close a constraint are left out, and no repair is lost."""
+    from ledgerline.functions.text import money_equal, plus, product_cents
+    from ledgerline.operators.localize import first_hints, hints_for
+
+    df = spark.createDataFrame(list(_amounts()), "k int, q decimal(38,4), p decimal(38,4), t decimal(38,4)").repartition(4)
+    q, p, t = F.col("q"), F.col("p"), F.col("t")
+    item = F.struct(F.lit("x").alias("description"), q.alias("quantity"), p.alias("unit_price"), t.alias("line_total"))
+    key = lambda part: F.lit(f"line_items[0].{part}")
+    whole = first_hints([hints_for(key("quantity"), q, lambda v: money_equal(product_cents(v, p), t)), hints_for(key("unit_price"), p, lambda v: money_equal(product_cents(q, v), t)), hints_for(key("line_total"), t, lambda v: money_equal(product_cents(q, p), v))])
+    m = F.struct(F.array(item).alias("line_items"), q.alias("subtotal"), F.lit(None).cast("decimal(38,4)").alias("tax"), p.alias("total"))
+    sums = first_hints([hints_for(key("line_total"), t, lambda v: money_equal(plus(F.try_subtract(t, t), v), q)), hints_for(F.lit("subtotal"), q, lambda v: money_equal(t, v))])
+    totals = first_hints([hints_for(F.lit("subtotal"), q, lambda v: money_equal(v, p)), hints_for(F.lit("total"), p, lambda v: money_equal(q, v))])
+    got = df.select("k", V.product_hints(F.array(item))[0].alias("product"), whole.alias("whole"), V.sum_hints(m, t).alias("sum"), sums.alias("sums"), V.total_hints(m).alias("total"), totals.alias("totals")).collect()
+    found = 0
+    for r in got:
+        for narrow, full in (("product", "whole"), ("sum", "sums"), ("total", "totals")):
+            assert r[narrow] is None or r[narrow] == r[full], r
+            found += bool(r[narrow])
+    assert found > 300
+
+
+def test_hopeless_repairs_are_not_tried(spark):
+    """Of a number of 32 digits that is far too large only the leading places are searched, and none if no digit fits."""
+    from ledgerline.operators.localize import _places, _reaches
+
+    off = lambda v: F.lit(v).cast("double")
+    places = lambda v: _places(F.lit(35), off(v), off(0.03))
+    row = spark.range(1).select(places(-1e32).alias("far"), places(0.6).alias("near"), places(None).alias("all"), _reaches(off(0.6), off(0.03)).alias("some"), _reaches(off(1234.5), off(0.03)).alias("none")).first()
+    assert len(row["far"]) <= 2 and row["near"] == [34] and len(row["all"]) == 35
+    assert (row["some"], row["none"]) == (True, False)
+
+
+def test_large_numbers_use_all_cores(spark):
+    import __spark_entry__ as entry
+
+    assert entry.queries()["large_numbers"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
