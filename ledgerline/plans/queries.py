@@ -673,10 +673,9 @@ def verdict_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def result_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The CSV, JSON and HTML document of every verified invoice, by length."""
-    verified = V.verify(derived.readings(spark, sf_dir))
-    size = lambda d, c: d.select("invoice_id", F.lit(c).alias("kind"), F.char_length(c).alias("n"))
-    docs = [size(exports.csv_document(verified), "csv"), size(exports.json_document(verified), "json"), size(exports.html_document(verified), "html")]
-    return docs[0].unionByName(docs[1]).unionByName(docs[2])
+    docs = exports.documents(V.verify(derived.readings(spark, sf_dir)))
+    sizes = docs.select("invoice_id", *[F.char_length(c).alias(c) for c in ("csv", "json", "html")])
+    return sizes.select("invoice_id", F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("n")) for c in ("csv", "json", "html")])).alias("d")).select("invoice_id", "d.kind", "d.n")
 
 
 @query()

@@ -134,3 +134,20 @@ def test_a_run_in_one_folder(spark, made, tmp_path):
     assert spark.read.json(str(tmp_path / "run/rows")).where("setup = 'text'").count() == 40
     report = exports.markdown_report(summary.collect(), latency.collect(), "t", "dev", exports.markdown_rows(rows).collect())
     assert "## text" in report and sum(x.startswith("| 00") for x in report.splitlines()) == 40
+
+
+def test_exports_verify_once(spark):
+    """The three documents come from one verification, so every table is read once."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["result_exports"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_linenumber#") and plan.count("Relation [") == 3
+
+
+def test_plain_dates_are_read_as_any_other(spark):
+    from ledgerline.functions.text import parse_date
+
+    days = ["2024-02-29", "2023-02-29", "0000-01-01", "0001-01-01", "2024-13-01", "2024-1-5", "on 2024-02-29", "2024-02-29 x", "2024-00-10", "9999-12-31", "2024-04-31", "", None]
+    rows = spark.createDataFrame([(d,) for d in days], "d string").select("d", parse_date("d").alias("plain"), parse_date(F.concat(F.lit("x "), "d")).alias("searched")).collect()
+    assert [str(r["plain"]) for r in rows] == ["2024-02-29", "None", "None", "0001-01-01", "None", "2024-01-05", "2024-02-29", "2024-02-29", "None", "9999-12-31", "None", "None", "None"]
+    assert all(r["plain"] == r["searched"] for r in rows)
